@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all bu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm import mixing, packing, pii, text_dedup, toxicity
@@ -21,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id, and of rows with that id the first by text hash.
+    """Keep one document of each group: the one with the smallest doc_id, and of rows that share that id one for each text.
 
     A document without an id is kept unless its group has one with an id; of such a group without any id all rows are kept."""
     found = cut(text_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept").where("kept")
@@ -29,8 +29,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.col("text").alias("t"))
     hit = named.join(found, F.col("i").eqNullSafe(F.col("kept_id")))
     once = hit.where("rows = 1 or i is null").select("row")
-    # Rows that share an id: one of each near-duplicate group of that id, which is found among them alone.
-    shared = hit.where("rows > 1 and i is not null").withColumn("n", F.row_number().over(Window.partitionBy("i", F.xxhash64("t")).orderBy("t"))).where("n = 1").select("row")
+    # Of rows that share an id, one for each text.
+    shared = hit.where("rows > 1 and i is not null").groupBy("i", F.xxhash64("t")).agg(F.first("row").alias("row")).select("row")
     return once.union(shared).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
