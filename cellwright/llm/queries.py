@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, text_dedup, toxicity
+from . import license_scan, mixing, neighbours, packing, pii, resharding, text_dedup, toxicity, vector_dedup, warc
 
 
 
@@ -24,6 +24,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find(table(spark, sf_dir, "documents"))
+
+
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -42,10 +55,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = resharding.reshard(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -53,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mixing, op5_minhash_dedup, op6_pii, op7_toxicity, op9_packing, pipeline]
+    own = [op1_mixing, op2_warc, op3_license_scan, op4_vector_dedup, op5_minhash_dedup, op6_pii, op7_toxicity, op8_neighbours, op9_packing, op10_resharding, pipeline]
     return {f.__name__: f for f in own}
 
 

@@ -6,9 +6,9 @@ maximum-likelihood estimate of the similarity from (greater, smaller, equal) reg
 rejects hopeless ones, and the full shingle sets confirm the rest.
 
 Documents with equal shingle sets are one class from the start, so copies never meet in pairs. In a band's bucket
-each class is compared with one hub only; the components found so say which buckets still hold classes of different
-components, and only those classes are compared with each other. Buckets too large for that are dealt again by a
-second band beside the first, which parts classes that merely share a passage.
+each class is first compared with one hub. Only classes that then share a bucket with one of another component are
+compared with it, in blocks of bounded size inside the tasks: by registers first, and where those leave it open by full
+sets. The blocks give out links between components, never pairs.
 
 Defined cases. Null or word-less text: empty set, linked with nothing. Null doc_id: takes part; never the smallest id
 of a component unless all its ids are null. Repeated rows: one class. Empty table: empty result. Other columns are ignored."""
@@ -29,13 +29,13 @@ from ._shared import WordHashes, components, cut, mixed, words_of
 REGISTERS, ROWS = 192, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Words whose shingles are worked on at once; a longer document is worked on by itself.
-CHUNK = 1_000_000
-#: Classes in a bucket up to which those of different components are compared directly.
-SMALL = 64
+CHUNK = 400_000
+#: Members of a block in which classes of one bucket are compared.
+BLOCK = 256
 #: Participants up to which the join that fetches their texts may broadcast their ids.
 FEW = 500_000
 
-_hashes = WordHashes()
+_hashes = WordHashes(300_000)
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -179,25 +179,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = cut(docs.mapInArrow(_sketcher(shingle), f"doc_id {id_type}, n_shingles long, key binary, registers binary"), "sketches")
     classes = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
 
-    member = classes.select("key", F.explode(_bands(F.col("registers"))).alias("bucket"))
+    member = classes.select("key", F.posexplode(_bands(F.col("registers"))).alias("band", "bucket"))
     hubs = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key"))["key"].alias("hub"), F.count("*").alias("n")).where("n > 1")
     member = cut(member.join(hubs, "bucket"), "members")
     stars = member.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     links = _confirmed(docs, classes, stars, shingle, percent)
     found = components(links)
 
-    # Which buckets still hold classes of different components?
-    member = member.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
-    split = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    member = cut(member.join(split, "bucket"), "unsettled")
-    small = member.where(F.col("n") <= SMALL).select("bucket", "key", "root")
-    large = member.where(F.col("n") > SMALL).join(classes.select("key", "registers"), "key")
-    large = large.select(F.col("bucket").alias("outer"), "key", "root", F.explode(_bands(F.col("registers"))).alias("inner")).where("inner <> outer")
-    large = large.select(F.xxhash64(F.least("inner", "outer"), F.greatest("inner", "outer")).alias("bucket"), "key", "root").distinct()
-    parts = small.union(large)
-    pairs = parts.alias("x").join(parts.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")))
-    pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    more = _confirmed(docs, classes, pairs, shingle, percent)
+    # Which classes share a bucket with one of another component? First by registers, then by full sets.
+    member = cut(_unsettled(member.select("bucket", "band", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))), "unsettled")
+    sketch = classes.select("key", "registers", "n")
+    likely = _dealt(member).join(sketch, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_job(percent, False), "bucket long, key binary")
+    member = cut(member.join(cut(likely.distinct(), "likely"), ["bucket", "key"], "left_semi"), "unsettled")
+    sets = _sets(docs, classes, member.select("key"), shingle)
+    more = _dealt(member).join(sketch, "key").join(sets, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_job(percent, True), "a binary, b binary")
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     # From classes back to documents.
@@ -209,6 +204,108 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _unsettled(member: DataFrame) -> DataFrame:
+    """The members (bucket, band, key, root) of buckets that hold several roots, each with the sizes of its bucket's
+    two parts: the members of the most frequent root there (major), which need no comparison among themselves, and the others."""
+    roots = member.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    tops = roots.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("all > top.c")
+    tops = tops.select("bucket", F.col("top.root").alias("major"), (F.col("all") - F.col("top.c")).alias("minors"), F.col("top.c").alias("majors"))
+    return member.join(tops, "bucket").withColumn("major", F.col("root") == F.col("major"))
+
+
+def _dealt(member: DataFrame) -> DataFrame:
+    """Members dealt to pairs of blocks (i, j) of about BLOCK members, so that every two members of which one isn't
+    major meet in one pair; own is a member's block. A bucket of BLOCK members or fewer is a single block."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    single = F.col("minors") + F.col("majors") <= BLOCK
+    nth = lambda n: F.pmod(F.xxhash64("key"), blocks(n)).cast("int")
+    own = F.when(single, 0).when(F.col("major"), blocks("minors") + nth("majors")).otherwise(nth("minors"))
+    last = F.when(single, 0).when(F.col("major"), blocks("minors") - 1).otherwise(blocks("minors") + blocks("majors") - 1)
+    dealt = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("bucket", "band", "key", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _block_job(percent: int, exact: bool):
+    """Over rows sorted by (bucket, i, j): compare the members of different roots in each pair of blocks, two classes only
+    in the first band they share. By registers, yield the members (bucket, key) of likely links; with the full sets, links
+    (a, b) that connect what wasn't yet connected in this task."""
+    j0 = percent / 100
+    least = j0 - 5 * (j0 * (1 - j0) / REGISTERS) ** 0.5
+    mult = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(ROWS)], np.uint64)
+
+    def likely(rows: dict, out: list, parent: dict) -> None:
+        n = len(rows["key"])
+        own, i, j = np.array(rows["own"]), rows["i"][0], rows["j"][0]
+        left, right = (np.arange(n),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        r = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(n, REGISTERS)
+        band = mixed((r.reshape(n, -1, ROWS).astype(np.uint64) * mult).sum(axis=2, dtype=np.uint64))
+        names = {k: x for x, k in enumerate(dict.fromkeys(rows["root"]))}
+        root = np.array([names[k] for k in rows["root"]])
+        size = np.array(rows["n"], float)
+        for lo in range(0, len(left), 64):
+            x = left[lo : lo + 64]
+            same = band[x][:, None, :] == band[right][None, :, :]
+            fit = (same.argmax(axis=2) == rows["band"][0]) & same.any(axis=2) & (root[x][:, None] != root[right][None, :])
+            if i == j:
+                fit &= x[:, None] < right[None, :]
+            fit &= 100 * np.minimum(size[x][:, None], size[right][None, :]) >= percent * np.maximum(size[x][:, None], size[right][None, :])
+            u, v = np.nonzero(fit)
+            u, v = x[u], right[v]
+            if len(u):
+                near = np.flatnonzero((r[u] == r[v]).sum(axis=1) >= least * REGISTERS * 0.8)
+                near = near[likeliest(r[u[near]], r[v[near]], size[u[near]], size[v[near]]) >= least] if len(near) else near
+                for a, b in zip(u[near].tolist(), v[near].tolist()):
+                    link(rows, a, b, out, parent) if exact else out.extend(((rows["bucket"][0], rows["key"][a]), (rows["bucket"][0], rows["key"][b])))
+
+    def head(parent: dict, x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def link(rows: dict, a: int, b: int, out: list, parent: dict) -> None:
+        ra, rb = head(parent, rows["root"][a]), head(parent, rows["root"][b])
+        if ra != rb:
+            s, t = rows["shingles"][a], rows["shingles"][b]
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            if shared * 100 >= (len(s) + len(t) - shared) * percent:
+                parent[ra] = rb
+                out.append((rows["root"][a], rows["root"][b]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b"] if exact else ["bucket", "key"]
+        kinds = [pa.binary(), pa.binary()] if exact else [pa.int64(), pa.binary()]
+        held, at, parent = None, None, {}
+
+        def done(rows: dict | None):
+            out: list = []
+            if rows and len(rows["key"]) > 1:
+                likely(rows, out, parent)
+            out = list(dict.fromkeys(out))
+            if len(parent) > 200_000:
+                parent.clear()
+            return [pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) for c in (0, 1)], names)] if out else []
+
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "shingles"}
+            if exact:
+                lists = batch.column("shingles")
+                flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                cols["shingles"] = [flat[lo:hi] for lo, hi in zip(off[:-1], off[1:])]
+            keys = list(zip(cols["bucket"], cols["i"], cols["j"]))
+            starts = [x for x in range(len(keys)) if x == 0 or keys[x] != keys[x - 1]] + [len(keys)]
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                part = {c: v[lo:hi] for c, v in cols.items()}
+                if keys[lo] == at:
+                    held = {c: held[c] + part[c] for c in held}
+                else:
+                    yield from done(held)
+                    held, at = part, keys[lo]
+        yield from done(held)
+
+    return run
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are similar enough."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
@@ -216,13 +313,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pe
     # 192 registers estimate 0.8 with a deviation of 0.029; five of them below the threshold lose about one pair in 3 million.
     j = percent / 100
     near = cut(near.mapInPandas(_estimator(j - 5 * (j * (1 - j) / REGISTERS) ** 0.5), "a binary, b binary"), "pairs")
-    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "doc_id"), "key"), "wanted")
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    if ids.count() <= FEW:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(k), "key binary, shingles array<long>").join(wanted.select("key"), "key", "left_semi")
-    sets = cut(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = _sets(docs, classes, near.select(F.explode(F.array("a", "b")).alias("key")), k)
     # The hub of a star is a in some pairs and b in others; what repeats is matched last, so it isn't moved again.
     often = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("times"))
     near = near.join(often.select(F.col("key").alias("a"), F.col("times").alias("ta")), "a").join(often.select(F.col("key").alias("b"), F.col("times").alias("tb")), "b")
@@ -231,3 +322,14 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pe
     shared = F.size(F.array_intersect("s", "t"))
     both = both.select("hub", "leaf", shared.alias("shared"), (F.size("s") + F.size("t") - shared).alias("all"))
     return both.where(F.col("shared") * 100 >= F.col("all") * percent).select(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b"))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(key, shingles) of the given classes, from the text of one document of each, which is read again."""
+    wanted = cut(keys.distinct().join(classes.select("key", "doc_id"), "key"), "wanted")
+    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    if ids.count() <= FEW:
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
+    sets = texts.mapInArrow(_setter(k), "key binary, shingles array<long>").join(wanted.select("key"), "key", "left_semi")
+    return cut(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
