@@ -1,15 +1,393 @@
-"""Queries of the repair engine's own operators, with the SQL that gives the same rows."""
+"""Queries of the repair engine's own operators over whole tables, with the SQL that gives the same rows.
+
+Most work on `part`, where name and size should determine the brand; row numbers are the keys."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import Config
+from .functions import text
+from .operators import detect, evaluate, features, model, repair, wrangle
+from .operators import domain as dom
+from .plans.constraint import parse
+from .sources import tables
+
+ATTRS = ["p_name", "p_brand", "p_type", "p_size"]
+DIRTY = ["p_name", "p_brand", "p_size"]
+RULE = "t1&t2&EQ(t1.p_name,t2.p_name)&EQ(t1.p_size,t2.p_size)&IQ(t1.p_brand,t2.p_brand)"
+#: Given weights, so that inference can be compared with SQL.
+WEIGHTS = {"Init": 1.5, "DC1": -0.4, "DC2": -0.6, "DC3": -0.3, "DC4": -0.5, "DC5": -0.8, "DC6": -0.7, "Cooccur:p_name": 0.9, "Cooccur:p_brand": 0.7, "Cooccur:p_size": 1.1}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("__ind"), *ATTRS)
+
+
+def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer with every seventh segment and every eleventh name missing."""
+    df = table(spark, sf_dir, "customer")
+    hole = lambda c, n: F.when(F.col("c_custkey") % n != 0, F.col(c)).alias(c)
+    return df.select(F.col("c_custkey").alias("__ind"), hole("c_name", 11), "c_nationkey", hole("c_mktsegment", 7))
+
+
+def rule(text_: str, df: DataFrame):
+    return parse(text_, df.columns)
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    return df.select("ind", "attr")
+
+
+def dc_dk_cells(spark, d):
+    df = part(spark, d)
+    return detect.ConstraintDetector([rule(RULE, df)]).noisy_cells(df)
+
+
+def dc_clean_cells(spark, d):
+    df = part(spark, d)
+    return detect.ConstraintDetector([rule(RULE, df)]).clean_cells(df)
+
+
+def dc_dependency(spark, d):
+    df = table(spark, d, "lineitem").select((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("__ind"), "l_orderkey", "l_linenumber", "l_returnflag")
+    return detect.ConstraintDetector([rule("t1&t2&EQ(t1.l_orderkey,t2.l_orderkey)&EQ(t1.l_linenumber,t2.l_linenumber)&IQ(t1.l_returnflag,t2.l_returnflag)", df)]).noisy_cells(df)
+
+
+def dc_theta(spark, d):
+    df = table(spark, d, "supplier").select(F.col("s_suppkey").alias("__ind"), "s_nationkey", "s_acctbal")
+    return detect.ConstraintDetector([rule("a&b&LT(a.s_nationkey,b.s_nationkey)&GTE(a.s_acctbal,b.s_acctbal)", df)]).noisy_cells(df)
+
+
+def dc_equi(spark, d):
+    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("__ind"), "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return detect.ConstraintDetector([rule("a&b&EQ(a.o_custkey,b.o_custkey)&GT(a.o_totalprice,b.o_totalprice)&LTE(a.o_orderstatus,b.o_orderstatus)", df)]).noisy_cells(df)
+
+
+def dc_single(spark, d):
+    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("__ind"), "o_orderstatus", "o_orderpriority")
+    return detect.ConstraintDetector([rule("t1&EQ(t1.o_orderstatus,'F')&IQ(t1.o_orderpriority,\"1-URGENT\")", df)]).noisy_cells(df)
+
+
+def dc_literal(spark, d):
+    df = table(spark, d, "part").select(F.col("p_partkey").alias("__ind"), "p_name", "p_brand", "p_size")
+    return detect.ConstraintDetector([rule("t1&t2&EQ(t1.p_brand,'Brand#11')&EQ(t2.p_brand,'Brand#22')&EQ(t1.p_name,t2.p_name)", df)]).noisy_cells(df)
+
+
+def dc_three_tuple(spark, d):
+    df = table(spark, d, "nation").select(F.col("n_nationkey").alias("__ind"), "n_name", "n_regionkey")
+    return detect.ConstraintDetector([rule("a&b&c&EQ(a.n_regionkey,b.n_regionkey)&EQ(b.n_regionkey,c.n_regionkey)&LT(a.n_name,b.n_name)&LT(b.n_name,c.n_name)", df)]).noisy_cells(df)
+
+
+def null_cells(spark, d):
+    return detect.NullDetector().noisy_cells(holes(spark, d))
+
+
+def regex_cells(spark, d):
+    df = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("__ind"), "role", "text")
+    return detect.RegexDetector("text", "[0-9]{2}").noisy_cells(df)
+
+
+def _detectors(df):
+    return [detect.ConstraintDetector([rule(RULE, df)]), detect.RegexDetector("p_type", "^(ECONOMY|STANDARD|SMALL)")]
+
+
+def detector_union(spark, d):
+    df = part(spark, d)
+    return detect.detect(df, _detectors(df))[1]
+
+
+def detector_intersect(spark, d):
+    df = part(spark, d)
+    return detect.detect(df, _detectors(df))[0]
+
+
+def labelled_cells(spark, d):
+    df = part(spark, d)
+    given = df.where("p_size > 40").select("__ind", F.lit("p_brand").alias("attr"))
+    return detect.LabelledCells(given, clean=True).noisy_cells(df)
+
+
+def index_rows(spark, d):
+    return tables.with_index(table(spark, d, "orders").select("o_orderkey", "o_custkey"), order=["o_orderkey"])
+
+
+def long_columns(spark, d):
+    return tables.without_long_columns(table(spark, d, "conversations"), 40).groupBy("conv_id", "role").agg(F.count("*").alias("n"))
+
+
+def flat_cells(spark, d):
+    return tables.flatten(part(spark, d))
+
+
+def value_counts(spark, d):
+    return dom.value_counts(part(spark, d))
+
+
+def pair_counts(spark, d):
+    return dom.pair_counts(part(spark, d), DIRTY)
+
+
+def cooccur_lookup(spark, d):
+    return _lookup(part(spark, d), 0.05).withColumn("p", F.round("p", 9))
+
+
+def _lookup(df, least):
+    return dom.cooccurrence(dom.pair_counts(df, DIRTY), dom.value_counts(df), least)
+
+
+def _dk_domain(spark, d):
+    df = part(spark, d)
+    return df, dom.dk_domain(df, dc_dk_cells(spark, d), _lookup(df, 0.0), Config())
+
+
+def dk_domain(spark, d):
+    return _dk_domain(spark, d)[1]
+
+
+def domain_sizes(spark, d):
+    return dom.domain_sizes(_dk_domain(spark, d)[1])
+
+
+def numbered_domain(spark, d):
+    return dom.numbered(_dk_domain(spark, d)[1], ATTRS)
+
+
+def _clean_domain(spark, d, config):
+    df = part(spark, d)
+    training = tables.cells(df, attrs=DIRTY).join(dc_dk_cells(spark, d), ["ind", "attr"], "left_anti")
+    return df, dom.clean_domain(df, training, _lookup(df, 0.0), config)
+
+
+def clean_domain_all(spark, d):
+    return _clean_domain(spark, d, Config(pruning_clean_breakoff=0))[1]
+
+
+def clean_domain_sampled(spark, d):
+    return _clean_domain(spark, d, Config())[1]
+
+
+def feature_observed(spark, d):
+    df, domain = _dk_domain(spark, d)
+    return features.Observed().features(df, domain)
+
+
+def feature_constraint(spark, d):
+    df, domain = _dk_domain(spark, d)
+    return features.Violations([rule(RULE, df)]).features(df, domain)
+
+
+def _cooccur(df):
+    return features.Cooccurrence(DIRTY, dom.pair_counts(df, DIRTY), dom.value_counts(df))
+
+
+def feature_cooccur(spark, d):
+    df, domain = _dk_domain(spark, d)
+    return _cooccur(df).features(df, domain).withColumn("value", F.round("value", 9))
+
+
+def _signals(df):
+    return [features.Observed(), features.Violations([rule(RULE, df)]), _cooccur(df)]
+
+
+def feature_normalized(spark, d):
+    df, domain = _dk_domain(spark, d)
+    return features.normalized(features.featurize(df, domain, _signals(df))).withColumn("value", F.round("value", 7))
+
+
+def feature_map(spark, d):
+    return features.feature_map(spark, _signals(part(spark, d)))
+
+
+def dimensions(spark, d):
+    training, suspect = clean_domain_all(spark, d), _dk_domain(spark, d)[1]
+    return features.dimensions(training, suspect, len(WEIGHTS))
+
+
+def _inferred(spark, d):
+    df, domain = _dk_domain(spark, d)
+    weights = model.weights_frame(spark, list(WEIGHTS), WEIGHTS.values())
+    chances = model.probabilities(domain, features.normalized(features.featurize(df, domain, _signals(df))), weights)
+    return df, chances.withColumn("probability", F.round("probability", 7))
+
+
+def infer_softmax(spark, d):
+    return _inferred(spark, d)[1]
+
+
+def infer_topk(spark, d):
+    return model.top(_inferred(spark, d)[1], 2)
+
+
+def infer_map(spark, d):
+    return model.top(_inferred(spark, d)[1], 1).select("ind", "attr", "val")
+
+
+def repaired_fixed(spark, d):
+    df, chances = _inferred(spark, d)
+    return repair.repaired(df, model.top(chances, 1)).withColumnRenamed("__ind", "ind")
+
+
+def train_repair(spark, d):
+    df = part(spark, d)
+    session = repair.Session(spark, Config(learning_iterations=3, batch_size=32, pruning_threshold1=0.02))
+    session.use(df)
+    session.add_denial_constraint(RULE)
+    session.detect_errors([detect.ConstraintDetector(session.constraints), detect.NullDetector()])
+    return session.repair().withColumnRenamed("__ind", "ind")
+
+
+def precision_recall(spark, d):
+    """Truth: the table itself; every fifth brand of it spoilt."""
+    df = part(spark, d)
+    truth = tables.flatten(df, attrs=["p_brand"]).toDF("tid", "attr_name", "attr_val")
+    spoilt = df.withColumn("p_brand", F.when(F.col("__ind") % 5 == 0, F.lit("Brand#??")).otherwise(F.col("p_brand")))
+    dk = spoilt.where("__ind % 5 = 0 or __ind % 7 = 0").select(F.col("__ind").alias("ind"), F.lit("p_brand").alias("attr"))
+    lookup = dom.cooccurrence(dom.pair_counts(spoilt, ["p_brand"]), dom.value_counts(spoilt), 0.0)
+    own = tables.flatten(spoilt).join(dk, ["ind", "attr"], "left_semi").withColumn("observed", F.lit(1))
+    found = dom.candidates(spoilt, dk, lookup).where("val <> 'Brand#??'").withColumn("probability", F.col("p"))
+    ranked = model.top(found.withColumn("probability", F.round("probability", 9)), 3)
+    out = evaluate.compare(spoilt, dk.join(own, ["ind", "attr"], "left_semi"), ranked, truth)
+    return out.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def wrangle_lower_trim(spark, d):
+    df = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return wrangle.Transformer((text.lowercase, text.trim), ("text",)).transform(df)
+
+
+def wrangle_clusters(spark, d):
+    df = table(spark, d, "part").select("p_partkey", "p_name")
+    return wrangle.Normalizer((wrangle.ColumnNorm("p_name", threshold=2),)).normalize(df)
+
+
+def wrangle_jaccard(spark, d):
+    df = table(spark, d, "part").select("p_partkey", "p_type")
+    return wrangle.Normalizer((wrangle.ColumnNorm("p_type", wrangle.jaccard, 0.2),)).normalize(df)
+
+
+def catalog_query(spark, d):
+    catalog = tables.Catalog(spark)
+    catalog.add("Init", part(spark, d))
+    return catalog.query("SELECT p_brand, max(p_size) AS largest, count(*) AS n FROM {Init} GROUP BY p_brand")
+
+
+_PUBLIC = [dc_dk_cells, dc_clean_cells, dc_dependency, dc_theta, dc_equi, dc_single, dc_literal, dc_three_tuple, null_cells, regex_cells, detector_union, detector_intersect, labelled_cells, index_rows, long_columns, flat_cells, value_counts, pair_counts, cooccur_lookup, dk_domain, domain_sizes, numbered_domain, clean_domain_all, clean_domain_sampled, feature_observed, feature_constraint, feature_cooccur, feature_normalized, feature_map, dimensions, infer_softmax, infer_topk, infer_map, repaired_fixed, train_repair, precision_recall, wrangle_lower_trim, wrangle_clusters, wrangle_jaccard, catalog_query]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _PUBLIC}
+
+
+# ---- the same in SQL ----
+
+_P = "p AS (SELECT p_partkey AS ind, p_name, p_brand, p_type, p_size FROM part)"
+_FLAT = "flat AS (" + " UNION ALL ".join(f"SELECT ind, '{a}' AS attr, CAST({a} AS VARCHAR) AS val FROM p" for a in ATTRS) + ")"
+_DK_IDS = "bad AS (SELECT a.ind FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_brand <> b.p_brand AND a.ind <> b.ind))"
+_DK = "dk AS (SELECT ind, attr FROM bad, (VALUES ('p_name'), ('p_size'), ('p_brand')) t(attr))"
+_VALUES = "vals AS (SELECT attr, val, count(*) AS n FROM flat GROUP BY attr, val)"
+_PAIRS = "pairs AS (SELECT x.attr, x.val, y.attr AS attr2, y.val AS val2, count(*) AS n FROM flat x JOIN flat y ON x.ind = y.ind AND x.attr <> y.attr WHERE y.attr <> 'p_type' GROUP BY ALL)"
+_LOOKUP = "lookup AS (SELECT s.attr, s.val, s.attr2, s.val2, s.n / v.n AS p FROM pairs s JOIN vals v ON s.attr = v.attr AND s.val = v.val)"
+_BASE = f"WITH {_P}, {_FLAT}, {_DK_IDS}, {_DK}, {_VALUES}, {_PAIRS}, {_LOOKUP}"
+
+
+def _cand(cells: str) -> str:
+    return f"SELECT c.ind, c.attr, l.val2 AS val, max(l.p) AS p FROM {cells} c JOIN flat f ON f.ind = c.ind AND f.attr <> c.attr JOIN lookup l ON l.attr = f.attr AND l.val = f.val AND l.attr2 = c.attr GROUP BY ALL"
+
+
+_DOMAIN = (
+    f"found AS ({_cand('dk')}), others AS (SELECT f.* FROM found f JOIN flat o ON o.ind = f.ind AND o.attr = f.attr WHERE f.val <> o.val AND f.p >= 0.1),"
+    " ranked AS (SELECT *, row_number() OVER (PARTITION BY ind, attr ORDER BY p DESC, val) AS r FROM others),"
+    " dom AS (SELECT ind, attr, val, 0 AS observed FROM ranked WHERE r <= 4 UNION ALL SELECT f.ind, f.attr, f.val, 1 FROM flat f JOIN dk USING (ind, attr))"
+)
+
+
+def _relaxed() -> str:
+    parts, i = [], 0
+    for attr, op in (("p_name", "="), ("p_size", "="), ("p_brand", "<>")):
+        for side in ("a", "b"):
+            i += 1
+            tests = [f"{'CAST(a.' + x + ' AS VARCHAR)' if not (x == attr and side == 'a') else 'd.val'} {o} {'CAST(b.' + x + ' AS VARCHAR)' if not (x == attr and side == 'b') else 'd.val'}" for x, o in (("p_name", "="), ("p_size", "="), ("p_brand", "<>"))]
+            parts.append(f"SELECT d.ind, d.attr, d.val, 'DC{i}' AS feature, CAST(count(*) AS DOUBLE) AS value FROM dom d JOIN p {side} ON d.ind = {side}.ind AND d.attr = '{attr}' JOIN p {'b' if side == 'a' else 'a'} ON {' AND '.join(tests)} AND a.ind < b.ind GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
+_F_INIT = "SELECT ind, attr, val, 'Init' AS feature, CAST(1.0 AS DOUBLE) AS value FROM dom WHERE observed = 1"
+_F_CO = "SELECT d.ind, d.attr, d.val, 'Cooccur:' || f.attr AS feature, s.n / v.n AS value FROM dom d JOIN flat f ON f.ind = d.ind AND f.attr <> d.attr AND f.attr <> 'p_type' JOIN pairs s ON s.attr = f.attr AND s.val = f.val AND s.attr2 = d.attr AND s.val2 = d.val JOIN vals v ON v.attr = f.attr AND v.val = f.val"
+_FEATURES = f"feats AS ({_F_INIT} UNION ALL {_relaxed()} UNION ALL {_F_CO}), norm AS (SELECT ind, attr, val, feature, value / sqrt(sum(value * value) OVER (PARTITION BY ind, attr, val)) AS value FROM feats)"
+_INFER = (
+    "w(feature, weight) AS (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in WEIGHTS.items()) + "),"
+    " sc AS (SELECT ind, attr, val, sum(value * weight) AS s FROM norm JOIN w USING (feature) GROUP BY ALL),"
+    " ex AS (SELECT d.*, exp(coalesce(s, 0) - max(coalesce(s, 0)) OVER (PARTITION BY d.ind, d.attr)) AS e FROM dom d LEFT JOIN sc USING (ind, attr, val)),"
+    " inf AS (SELECT ind, attr, val, observed, round(e / sum(e) OVER (PARTITION BY ind, attr), 7) AS probability FROM ex),"
+    " top AS (SELECT *, row_number() OVER (PARTITION BY ind, attr ORDER BY probability DESC, val) AS rank FROM inf WHERE probability > 0)"
+)
+_DOM = f"{_BASE}, {_DOMAIN}"
+_ALL = f"{_DOM}, {_FEATURES}, {_INFER}"
+_TRAIN = "tr AS (SELECT ind, attr FROM flat WHERE attr <> 'p_type' EXCEPT SELECT ind, attr FROM dk)"
+_CLEAN = f"cf AS ({_cand('tr')}), cd AS (SELECT f.ind, f.attr, f.val, 0 AS observed FROM cf f JOIN flat o ON o.ind = f.ind AND o.attr = f.attr WHERE f.val <> o.val UNION ALL SELECT ind, attr, val, 1 FROM flat JOIN tr USING (ind, attr)), clean AS (SELECT * FROM cd QUALIFY count(*) OVER (PARTITION BY ind, attr) > 1)"
+_REGEX_BAD = "rx AS (SELECT ind, 'p_type' AS attr FROM p WHERE NOT regexp_matches(p_type, '^(ECONOMY|STANDARD|SMALL)'))"
+_FOLD = r"lower(regexp_replace(nfc_normalize(strip_accents(coalesce(text, ''))), '[^\x00-\x7F]', '', 'g'))"
+_TRIM = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FOLD}, '^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$', '', 'g'), '\n+', '', 'g'), '[\x09-\x0D\x1C-\x20]+', ' ', 'g'), '[\"'']', '', 'g')"
+
+
+def _explode(ids: str, attrs: list[str]) -> str:
+    return f"SELECT ind, attr FROM ({ids}), (VALUES {', '.join(f'({chr(39)}{a}{chr(39)})' for a in attrs)}) t(attr)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    theta = "SELECT s_suppkey AS ind FROM supplier x WHERE EXISTS (SELECT 1 FROM supplier y WHERE {0} AND x.s_suppkey <> y.s_suppkey)"
+    equi = "SELECT o_orderkey AS ind FROM orders x WHERE EXISTS (SELECT 1 FROM orders y WHERE x.o_custkey = y.o_custkey AND {0} AND x.o_orderkey <> y.o_orderkey)"
+    lit = "SELECT p_partkey AS ind FROM part x WHERE p_brand = '{0}' AND EXISTS (SELECT 1 FROM part y WHERE y.p_brand = '{1}' AND x.p_name = y.p_name AND x.p_partkey <> y.p_partkey)"
+    three = "n3 AS (SELECT a.n_nationkey AS x, b.n_nationkey AS y, c.n_nationkey AS z FROM nation a, nation b, nation c WHERE a.n_regionkey = b.n_regionkey AND b.n_regionkey = c.n_regionkey AND a.n_name < b.n_name AND b.n_name < c.n_name AND a.n_nationkey <> b.n_nationkey AND b.n_nationkey <> c.n_nationkey AND a.n_nationkey <> c.n_nationkey)"
+    line = "SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS ind FROM lineitem x WHERE EXISTS (SELECT 1 FROM lineitem y WHERE x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber AND x.l_returnflag <> y.l_returnflag)"
+    spoilt = "sp AS (SELECT p_partkey AS ind, p_name, CASE WHEN p_partkey % 5 = 0 THEN 'Brand#??' ELSE p_brand END AS p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, p_brand AS truth FROM part)"
+    near = " UNION ALL ".join(f"SELECT '{a}' AS attr, {a} AS val, p_brand AS val2, count(*) AS n FROM sp GROUP BY ALL" for a in ("p_name", "p_type", "p_size"))
+    alone = " UNION ALL ".join(f"SELECT '{a}' AS attr, {a} AS val, count(*) AS n FROM sp GROUP BY ALL" for a in ("p_name", "p_type", "p_size"))
+    rows = " UNION ALL ".join(f"SELECT ind, '{a}' AS attr, {a} AS val FROM sp WHERE ind % 5 = 0 OR ind % 7 = 0" for a in ("p_name", "p_type", "p_size"))
+    return {
+        "dc_dk_cells": f"WITH {_P}, {_DK_IDS}, {_DK} SELECT ind, attr FROM dk",
+        "dc_clean_cells": f"WITH {_P}, {_FLAT}, {_DK_IDS}, {_DK} SELECT ind, attr FROM flat EXCEPT SELECT ind, attr FROM dk",
+        "dc_dependency": f"SELECT DISTINCT ind, attr FROM ({_explode(line, ['l_orderkey', 'l_linenumber', 'l_returnflag'])})",
+        "dc_theta": f"SELECT DISTINCT ind, attr FROM ({_explode(theta.format('x.s_nationkey < y.s_nationkey AND x.s_acctbal >= y.s_acctbal') + ' UNION ' + theta.format('y.s_nationkey < x.s_nationkey AND y.s_acctbal >= x.s_acctbal'), ['s_nationkey', 's_acctbal'])})",
+        "dc_equi": f"SELECT DISTINCT ind, attr FROM ({_explode(equi.format('x.o_totalprice > y.o_totalprice AND x.o_orderstatus <= y.o_orderstatus') + ' UNION ' + equi.format('y.o_totalprice > x.o_totalprice AND y.o_orderstatus <= x.o_orderstatus'), ['o_custkey', 'o_totalprice', 'o_orderstatus'])})",
+        "dc_single": _explode("SELECT o_orderkey AS ind FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'", ["o_orderstatus", "o_orderpriority"]),
+        "dc_literal": f"SELECT DISTINCT ind, attr FROM ({_explode(lit.format('Brand#11', 'Brand#22') + ' UNION ' + lit.format('Brand#22', 'Brand#11'), ['p_brand', 'p_name'])})",
+        "dc_three_tuple": f"WITH {three} SELECT DISTINCT ind, attr FROM ({_explode('SELECT x AS ind FROM n3 UNION SELECT y FROM n3 UNION SELECT z FROM n3', ['n_regionkey', 'n_name'])})",
+        "null_cells": "SELECT c_custkey AS ind, 'c_name' AS attr FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT c_custkey, 'c_mktsegment' FROM customer WHERE c_custkey % 7 = 0",
+        "regex_cells": "SELECT conv_id * 1000 + turn AS ind, 'text' AS attr FROM conversations WHERE NOT regexp_matches(text, '[0-9]{2}')",
+        "detector_union": f"WITH {_P}, {_DK_IDS}, {_DK}, {_REGEX_BAD} SELECT ind, attr FROM dk UNION SELECT ind, attr FROM rx",
+        "detector_intersect": f"WITH {_P}, {_FLAT}, {_DK_IDS}, {_DK}, {_REGEX_BAD} SELECT ind, attr FROM flat EXCEPT SELECT ind, attr FROM dk EXCEPT SELECT ind, attr FROM rx",
+        "labelled_cells": f"WITH {_P}, {_FLAT} SELECT ind, attr FROM flat EXCEPT SELECT ind, 'p_brand' FROM p WHERE p_size > 40",
+        "index_rows": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS __ind FROM orders",
+        "long_columns": "SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL",
+        "flat_cells": f"WITH {_P}, {_FLAT} SELECT ind, attr, val FROM flat",
+        "value_counts": f"WITH {_P}, {_FLAT}, {_VALUES} SELECT attr, val, n FROM vals",
+        "pair_counts": f"WITH {_P}, {_FLAT}, {_PAIRS} SELECT attr, val, attr2, val2, n FROM pairs",
+        "cooccur_lookup": f"{_BASE} SELECT attr, val, attr2, val2, round(p, 9) AS p FROM lookup WHERE p > 0.05",
+        "dk_domain": f"{_DOM} SELECT ind, attr, val, observed FROM dom",
+        "domain_sizes": f"{_DOM} SELECT ind, attr, count(*) AS k_ij FROM dom GROUP BY ALL",
+        "numbered_domain": f"{_DOM} SELECT dense_rank() OVER (ORDER BY ind, CASE attr WHEN 'p_name' THEN 0 WHEN 'p_brand' THEN 1 WHEN 'p_type' THEN 2 ELSE 3 END) AS vid, ind, attr, val, observed, CAST(row_number() OVER (PARTITION BY ind, attr ORDER BY val) AS INTEGER) AS domain_id FROM dom",
+        "clean_domain_all": f"{_BASE}, {_TRAIN}, {_CLEAN} SELECT ind, attr, val, observed FROM clean",
+        "feature_observed": f"{_DOM} {_F_INIT}",
+        "feature_constraint": f"{_DOM} {_relaxed()}",
+        "feature_cooccur": f"{_DOM} SELECT ind, attr, val, feature, round(value, 9) AS value FROM ({_F_CO})",
+        "feature_normalized": f"{_DOM}, {_FEATURES} SELECT ind, attr, val, feature, round(value, 7) AS value FROM norm",
+        "feature_map": "SELECT * FROM (VALUES (1, 'Init', 'Init', 'Init'), (2, 'DC1', 'p_name', 'DC'), (3, 'DC2', 'p_name', 'DC'), (4, 'DC3', 'p_size', 'DC'), (5, 'DC4', 'p_size', 'DC'), (6, 'DC5', 'p_brand', 'DC'), (7, 'DC6', 'p_brand', 'DC'), (8, 'Cooccur:p_name', 'p_name', 'Cooccur'), (9, 'Cooccur:p_brand', 'p_brand', 'Cooccur'), (10, 'Cooccur:p_size', 'p_size', 'Cooccur')) t(feature_ind, feature, attribute, type)",
+        "dimensions": f"{_DOM}, {_TRAIN}, {_CLEAN} SELECT 'N' AS dimension, (SELECT count(*) FROM (SELECT DISTINCT ind, attr FROM clean)) AS length UNION ALL SELECT 'M', 10 UNION ALL SELECT 'L', (SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT ind, attr FROM clean UNION ALL SELECT ind, attr FROM dom) GROUP BY ind, attr))",
+        "infer_softmax": f"{_ALL} SELECT * FROM inf",
+        "infer_topk": f"{_ALL} SELECT ind, attr, val, observed, probability, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 2",
+        "infer_map": f"{_ALL} SELECT ind, attr, val FROM top WHERE rank = 1",
+        "repaired_fixed": f"{_ALL} SELECT p.ind, " + ", ".join(f"coalesce((SELECT {'CAST(val AS INTEGER)' if a == 'p_size' else 'val'} FROM top t WHERE t.ind = p.ind AND t.attr = '{a}' AND rank = 1), p.{a}) AS {a}" for a in ATTRS) + " FROM p",
+        "precision_recall": f"WITH {spoilt}, pr AS ({near}), al AS ({alone}), rw AS ({rows}), fd AS (SELECT rw.ind, pr.val2 AS val, round(max(pr.n / al.n), 9) AS p FROM rw JOIN pr ON rw.attr = pr.attr AND rw.val = pr.val JOIN al ON al.attr = rw.attr AND al.val = rw.val WHERE pr.val2 <> 'Brand#??' GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY ind ORDER BY p DESC, val) AS r FROM fd QUALIFY r <= 3), jd AS (SELECT rk.ind, max(CAST(val = truth AS INT)) AS hit, max(CASE WHEN r = 1 THEN CAST(val = truth AS INT) END) AS map_hit, any_value(sp.p_brand <> sp.truth) AS err FROM rk JOIN sp ON sp.ind = rk.ind GROUP BY rk.ind), e AS (SELECT count(*) AS n FROM sp WHERE p_brand <> truth) SELECT count(*) AS inferred, CAST(sum(hit) AS BIGINT) AS correct, (SELECT n FROM e) AS detected_errors, (SELECT n FROM e) AS total_errors, round(sum(hit) / count(*), 7) AS precision, round(1 - sum(CASE WHEN err AND hit = 0 THEN 1 ELSE 0 END) / (SELECT n FROM e), 7) AS recall, round(sum(map_hit) / count(*), 7) AS map_precision, round(1 - sum(CASE WHEN err AND map_hit = 0 THEN 1 ELSE 0 END) / (SELECT n FROM e), 7) AS map_recall FROM jd",
+        "wrangle_lower_trim": f"SELECT conv_id, turn, {_TRIM} AS text FROM conversations",
+        "wrangle_clusters": "WITH RECURSIVE c AS (SELECT p_name AS v, count(*) AS n FROM part GROUP BY 1), e AS (SELECT a.v AS a, b.v AS b FROM c a JOIN c b ON levenshtein(a.v, b.v) <= 2), r(v, u) AS (SELECT a, b FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a), x AS (SELECT r.v, first(c.v ORDER BY c.n DESC, c.v) AS best FROM r JOIN c ON c.v = r.u GROUP BY r.v) SELECT p_partkey, x.best AS p_name FROM part JOIN x ON x.v = part.p_name",
+        "catalog_query": "SELECT p_brand, max(p_size) AS largest, count(*) AS n FROM part GROUP BY p_brand",
+    }
