@@ -141,8 +141,11 @@ def parsed(raw: bytes) -> dict:
 
 def trained(pages: DataFrame) -> bytes:
     """A dictionary from the beginnings of at most SAMPLE pages, chosen by hash; empty if they are too few or too alike to train on."""
-    rows = pages.where("length(html) > 0").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).select(F.substring("html", 1, PREFIX)).collect()
-    samples = [r[0].encode() for r in rows]
+    some = pages.where("length(html) > 0")
+    # Ids alone are sorted; at most SAMPLE of them are broadcast to fetch the texts.
+    ids = some.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    rows = some.join(F.broadcast(ids), "page_id", "left_semi").select(F.substring("html", 1, PREFIX)).limit(SAMPLE).collect()
+    samples = sorted(r[0].encode() for r in rows)
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
