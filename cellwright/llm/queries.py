@@ -41,9 +41,13 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def _is_kind(kind: str):
+    return lambda x: x["kind"] == F.lit(kind)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    counts = [F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     base = F.filter("spans", lambda x: x["rank"] < len(pii.BASE))
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 

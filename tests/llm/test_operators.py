@@ -370,3 +370,30 @@ def test_pipeline_stages(spark, odd, none):
 def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
+
+
+def test_pii_query_counts(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op6_pii(spark, sf).collect():
+        base = brute_spans(texts[r.doc_id] or "")
+        kinds = Counter(x.split(":")[0] for x in base.split(",") if x)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) <= set(r.spans.split(",")) or not base
+
+
+def test_queries_have_their_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {
+        "op1_mixing": "doc_id size source_size target taken",
+        "op2_warc": "page_id payload_bytes payload_digest record_type refers_to",
+        "op4_vector_dedup": "vec_id n_links component_id kept",
+        "op7_toxicity": "doc_id held_out score predicted",
+        "op8_neighbours": "query_id rank vec_id score",
+        "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op10_resharding": "doc_id size text_crc32 law shard slot grown_shard",
+    }
+    for name, columns in want.items():
+        out = queries.queries()[name](spark, sf)
+        assert set(columns.split()) <= set(out.columns) and out.count() > 0
