@@ -26,6 +26,8 @@ from ._shared import cut
 #: Bounds of the training sample and of the vocabulary; documents of the sample a feature must be in, and the least z-score of its difference.
 POSITIVES, UNLABELLED, VOCABULARY, LEAST_DF, LEAST_Z = 6_000, 18_000, 2_000, 5, 4.0
 PREFIXES = (4, 5, 6, 7, 8)
+#: Words whose features a worker remembers.
+REMEMBERED = 200_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 60, 1024, 0.02, 1e-3, 17
 
 _BREAKS = bytes(c if 97 <= c <= 122 or c > 127 or c in (9, 10, 11, 12, 13) else 32 for c in bytes(range(256)))
@@ -59,7 +61,7 @@ class Places(dict):
         self.number = {int(k): i for i, k in enumerate(keys)}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         got = self[word] = tuple(self.number[f] for f in features_of(word) if f in self.number)
         return got
