@@ -88,6 +88,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8, A-Z lower-cased: exactly what bytes.lower and bytes.split do. Null: none."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+    if text is None:
+        return []
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()

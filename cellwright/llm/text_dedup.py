@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ FEW = 500_000
 _hashes = WordHashes(300_000)
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], k: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its k-word shingles; of fewer words, of the whole sequence."""
     words = [words_of(t) for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
@@ -115,14 +116,15 @@ def likeliest(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of a batch that hold about CHUNK words at most."""
-    texts = batch.column("text").to_pylist()
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of a batch that hold about CHUNK words at most, with their texts as UTF-8; the others' texts stay in Arrow."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "") // 6 + 1
-        if size >= CHUNK or i == len(texts) - 1:
-            yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
+    for i, n in enumerate(sizes):
+        size += n // 6 + 1
+        if size >= CHUNK or i == len(sizes) - 1:
+            part = batch.slice(begin, i + 1 - begin)
+            yield part, part.column("text").cast(pa.binary()).to_pylist()
             begin, size = i + 1, 0
 
 
