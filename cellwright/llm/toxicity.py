@@ -76,8 +76,10 @@ class Places(dict):
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [list({f for w in set(words_in(t.as_py())) for f in features_of(w)}) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(sets, pa.list_(pa.int64()))], ["positive", "found"])
+        for begin in range(0, len(batch), 64):
+            part = batch.slice(begin, 64)
+            sets = [{f for w in set(words_in(t.as_py())) for f in features_of(w)} for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array([np.fromiter(s, np.int64, len(s)) for s in sets], pa.list_(pa.int64()))], ["positive", "found"])
 
 
 def train(positive: list, unlabelled: list, width: int, prior: float) -> tuple[np.ndarray, float]:
