@@ -8,9 +8,10 @@ Equal vectors are one class from the start. Windows verify cosines in double pre
 connect what their block hadn't yet connected. Link counts are then exact within components: all classes of a component are
 compared with each other in blocks of bounded size, which add up counts and give out no pairs.
 
-With sign keys of angle a, a pair agrees on b leading bits with probability (1 - a / pi)^b; windows of WINDOW among n
-vectors need b = log2(n / WINDOW), so PASSES = 16 find a pair of cosine 0.9 among 10^6 vectors with 0.97 in a direct
-window, and one of 0.99 with more than 0.9999; more vectors take more passes or wider windows, both parameters.
+With sign keys a pair of angle a agrees on b leading bits with probability (1 - a / pi)^b; windows of WINDOW among n
+vectors need b = log2(n / WINDOW). From that the number of passes follows such that a pair at `least` is compared
+directly with probability RECALL, whatever n is: at cosine 0.9 and n = 10^5, 10^6, 10^7 these are 33, 57 and 97 passes,
+and 16 at least. That takes keys as evenly spread; where they crowd, a pair whose links nothing else makes is found less often.
 
 Defined cases. Vectors that are null, empty, zero, or hold null or non-finite components: no links, a component of their
 own. Vectors of different lengths: never linked. Null vec_id: takes part; never the smallest id unless all of the component are
@@ -18,13 +19,27 @@ null. Repeated rows: linked with each other. Empty table: empty result. Other co
 
 from __future__ import annotations
 
+from math import acos, ceil, log, log1p, log2, pi
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import components, cut
 
-PASSES, WINDOW, BLOCK, BITS, SEED = 16, 64, 1024, 62, 29
+LEAST_PASSES, WINDOW, BLOCK, BITS, SEED = 16, 64, 1024, 62, 29
+RECALL = 0.999
+
+
+def passes_for(n: int, least: float, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes after which a pair of cosine `least` among n vectors was in a window together with probability `recall`."""
+    agree = 1 - acos(max(-1.0, min(1.0, least))) / pi
+    found = agree ** max(0.0, log2(max(n, 1) / window))
+    if found >= 1:
+        return LEAST_PASSES
+    if found <= 0 or recall >= 1:
+        raise ValueError(f"no number of passes finds pairs of cosine {least} with probability {recall}")
+    return max(LEAST_PASSES, ceil(log(1 - recall) / log1p(-found)))
 
 
 def usable(v: str = "embedding"):
@@ -110,14 +125,19 @@ def _count_job(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per row: vec_id, n_links (other rows with cosine >= least, found), component_id (least vec_id reachable), kept."""
+def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int | None = None, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row per row: vec_id, n_links (other rows with cosine >= least, found), component_id (least vec_id reachable), kept.
+
+    passes: by default as many as RECALL takes for the number of distinct vectors."""
     df = vectors.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col), lambda x: x + F.lit(0).cast("float")).alias("embedding"))
     kind = df.schema["vec_id"].dataType.simpleString()
     df = df.withColumn("cls", F.when(usable(), F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256)))
     rows = cut(df.select("vec_id", "cls"), "vector-rows")
     classes = cut(df.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("rows"), F.first("embedding").alias("embedding")), "classes")
 
+    n_classes = classes.count()
+    passes = passes_for(n_classes, least, window) if passes is None else passes
+
     # Sort each pass: the rank within it is the place in a range partition plus the sizes of those before.
     keys = classes.mapInPandas(_keys(passes, BITS), "cls string, keys array<long>").select(F.posexplode("keys").alias("pass", "key"), "cls")
     keys = keys.repartitionByRange("pass", "key", "cls").sortWithinPartitions("pass", "key", "cls").withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
@@ -138,7 +158,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = PASSES
     part = inside.join(spread, "root").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = part.select("cls", "rows", "embedding", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # Small components share groups; a block pair of a large one is a group.
-    most = max(1, classes.count() // BLOCK)
+    most = max(1, n_classes // BLOCK)
     group = F.when(F.col("n") > BLOCK // 4, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(most)))
     part = part.join(spread.select("root", "n"), "root").withColumn("group", group).drop("n")
     counts = part.groupBy("group").applyInPandas(_count_job(least), "cls string, links long").groupBy("cls").agg(F.sum("links").alias("links"))

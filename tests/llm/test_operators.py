@@ -258,6 +258,20 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_dedup_makes_more_passes_for_more_vectors(spark):
+    assert [vector_dedup.passes_for(n, 0.9) for n in (0, 64, 10**4)] == [16, 16, 18] and vector_dedup.passes_for(10**7, 0.9) > vector_dedup.passes_for(10**6, 0.9) > 50
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((8000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(400):  # lone pairs just above the threshold
+        side = rng.standard_normal(32)
+        side -= (side @ v[i]) * v[i]
+        v[400 + i] = 0.901 * v[i] + np.sqrt(1 - 0.901**2) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(df, window=2).collect()}
+    assert np.mean([got[400 + i].component_id == i and got[i].n_links == 1 for i in range(400)]) >= 0.99
+
+
 def test_neighbours(spark):
     v = odd_vectors()
     df = spark.createDataFrame([(i, x, 0) for i, x in v], "vec_id long, embedding array<float>, query int")
