@@ -5,7 +5,7 @@ increasing subsequence of anchors and aligning the gaps between them in the same
 match directly. Coverage is the share of the template's words so matched; regions below LEAST are dropped.
 
 Whole texts are read, with every occurrence a region of its own: regions are runs of the template's telling words that lie closer
-together than the template is long. A template of n words matches at LEAST only if fewer than (1 - LEAST) * n of its words are
+together than the template is long. A template of n words matches at LEAST only if no more than (1 - LEAST) * n of its words are
 missing, so of any larger set of its words one must be there: texts without such a trigger are passed over, which loses nothing.
 
 Defined cases. Null or empty text: no rows. Null ids and repeated rows: a row for each finding. Several licenses that
@@ -100,7 +100,10 @@ class Template:
     def __init__(self, name: str, text: str, least: float):
         self.name, self.words = name, words(text)
         self.telling = frozenset(self.words) - COMMON
-        spare = int((1 - least) * len(self.words)) + 1
+        # The fewest words whose share reaches least, by the same division as in scan.
+        n = len(self.words)
+        self.enough = next((k for k in range(n) if k / n >= least), n)
+        spare = n - self.enough + 1
         # Of so many words with all their repeats, one can't be missing; the longest are the rarest.
         self.triggers, count = set(), Counter(self.words)
         for w in sorted(self.telling, key=lambda w: (-len(w), w)):
@@ -159,9 +162,9 @@ def _densest(own: list[str], a: int, b: int, t: Template):
     need = Counter(t.words)
     for lo in range(a, b, max(1, n // 2)):
         part = own[lo : min(b, lo + 2 * n)]
-        if sum((Counter(part) & need).values()) >= LEAST * n:
+        if sum((Counter(part) & need).values()) >= t.enough:
             pairs = patience(part, t.words)
-            if len(pairs) >= LEAST * n:
+            if len(pairs) >= t.enough:
                 return len(pairs) / n, pairs, lo
     return None
 
