@@ -3,6 +3,8 @@
 DataFrame functions only. Matches come from regexp_extract_all, their places from the lengths of the text between them.
 The patterns are written so that a text of any length is read in linear time: possessive repeats, and a look-behind that
 lets a match begin only where a run begins or the last match ended, which is where the plain pattern's leftmost matches begin.
+An iban's end is not the pattern's to say, as words in capitals may follow: every place where one may begin is looked at, and
+the length its country has, or else mod 97, says where it ends. (A space before the text keeps `split` from dropping an empty first part.)
 
 Base kinds (email, ip, card, phone) are reported whenever their check holds; context only moves their score. Further kinds
 (iban by mod 97, ssn by layout) are reported when their score reaches `least`, which an ssn does only beside a context word.
@@ -21,7 +23,8 @@ KINDS = {
     "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0.8),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7),
+    # Of no width: the group is all an iban from here might take, and a letter or digit that goes on after it.
+    "iban": (r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))", 0.7),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -33,6 +36,8 @@ CONTEXT = {
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social|security|taxpayer",
 }
+# Characters of an iban by country, as the registry lists them.
+IBAN = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 BONUS, REACH = 0.3, 40
 BLOCK = 256
 
@@ -54,6 +59,16 @@ def _holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _iban(m: Column) -> Column:
+    """The iban that m begins with, or null: as long as its country says; of a country not listed, the longest that mod 97 confirms."""
+    end = "(?![A-Za-z0-9])"
+    listed_ = "|".join(rf"(?:{x.replace(' ', '|')})(?:\x20?[A-Z0-9]){{{n - 2}}}" for n, x in IBAN.items())
+    known = F.array(F.regexp_extract(m, rf"^(?:{listed_}){end}", 0))
+    other = F.array(*[F.regexp_extract(m, rf"^[A-Z0-9](?:\x20?[A-Z0-9]){{{n - 1}}}{end}", 0) for n in range(34, 14, -1)])
+    ends = F.when(F.substring(m, 1, 2).isin(" ".join(IBAN.values()).split()), known).otherwise(other)
+    return F.get(F.filter(ends, lambda x: _holds("iban", x)), F.lit(0))
+
+
 def _spans(kind: str, least: float) -> Column:
     """Spans (start, rank, kind, end, score) of a kind from the columns text, m_<kind> and s_<kind>."""
     rank, (_, score) = list(KINDS).index(kind), KINDS[kind]
@@ -62,12 +77,12 @@ def _spans(kind: str, least: float) -> Column:
     def step(acc, x):
         a = acc["p"] + F.length(x["s"])
         b = a + F.length(x["m"])
-        return F.struct(b.alias("p"), F.concat(acc["o"], F.array(F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m")))).alias("o"))
+        return F.struct((a if kind == "iban" else b).alias("p"), F.concat(acc["o"], F.array(F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m")))).alias("o"))
 
     # Sums in blocks: appending to one list of all matches would copy it for each match.
     m, s = F.col(f"m_{kind}"), F.col(f"s_{kind}")
     zipped = F.arrays_zip(m.alias("m"), F.slice(s, F.lit(1), F.size(m)).alias("s"))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(f"array<{kind_of}>").alias("o"))
+    start = F.struct(F.lit(-1 if kind == "iban" else 0).alias("p"), F.array().cast(f"array<{kind_of}>").alias("o"))
 
     def block(acc, i):
         part = F.aggregate(F.slice(zipped, i * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["p"].alias("p"), F.array().cast(kind_of).alias("o")), step)
@@ -82,7 +97,12 @@ def _spans(kind: str, least: float) -> Column:
         full = F.least(F.lit(1.0), score + F.when(near.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), BONUS).otherwise(0.0))
         return F.struct(x["a"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["b"].alias("end"), full.alias("score"))
 
-    out = F.transform(F.filter(placed, lambda x: _holds(kind, x["m"])), row)
+    if kind == "iban":
+        whole = F.transform(placed, lambda x: F.struct(x["a"].alias("a"), _iban(x["m"]).alias("m")))
+        held = F.transform(F.filter(whole, lambda x: x["m"].isNotNull()), lambda x: F.struct(x["a"].alias("a"), (x["a"] + F.length(x["m"])).alias("b"), x["m"].alias("m")))
+    else:
+        held = F.filter(placed, lambda x: _holds(kind, x["m"]))
+    out = F.transform(held, row)
     out = out if kind in BASE else F.filter(out, lambda x: x["score"] >= least)
     return F.when(F.size(m) > 0, out).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>"))
 
@@ -100,8 +120,8 @@ def find(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col:
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([keep.alias("kept")] if keep is not None else []))
     cols = ["doc_id", "text", *(["kept"] if keep is not None else [])]
     none = F.array().cast("array<string>")
-    df = df.select(*cols, *[F.when(_hint(k), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}") for k, (p, _) in KINDS.items()])
-    df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(none).alias(f"s_{k}") for k, (p, _) in KINDS.items()])
+    df = df.select(*cols, *[F.when(_hint(k), F.regexp_extract_all("text", F.lit(p), F.lit(int(k == "iban")))).otherwise(none).alias(f"m_{k}") for k, (p, _) in KINDS.items()])
+    df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(F.concat(F.lit(" "), "text") if k == "iban" else F.col("text"), p, -1)).otherwise(none).alias(f"s_{k}") for k, (p, _) in KINDS.items()])
     return df.select(*cols, F.array_sort(F.concat(*[_spans(k, least) for k in KINDS])).alias("spans"))
 
 
