@@ -22,7 +22,7 @@ class Config:
     k_inferred: int = 1
     seed: int = 42
     train_on_clean_only: bool = False
-    #: Candidate features up to which training runs as sequential mini-batches in one task.
+    #: Candidate features up to which training holds them in memory; above, the same steps read them from disk.
     exact_limit: int = 2_000_000
     verbose: bool = False
 

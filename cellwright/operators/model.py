@@ -4,8 +4,6 @@ Features are long rows (ind, attr, val, feature, value); weights a small frame (
 
 from __future__ import annotations
 
-import logging
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +11,6 @@ from pyspark.sql import functions as F
 from ..config import Config
 from .features import KEY
 
-log = logging.getLogger(__name__)
-
 
 def initial_weights(names: list[str], seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal(len(names))
@@ -40,7 +36,7 @@ def top(inferred: DataFrame, k: int = 1) -> DataFrame:
 
 
 def train(domain: DataFrame, features: DataFrame, names: list[str], config: Config = Config()) -> np.ndarray:
-    """Weights, exact while the features number config.exact_limit at most, else at scale."""
+    """Weights by one rule at every size: in memory while the features number config.exact_limit at most, else from a task's disk."""
     return train_exact(domain, features, names, config) if features.count() <= config.exact_limit else train_at_scale(domain, features, names, config)
 
 
@@ -82,18 +78,68 @@ def train_exact(domain: DataFrame, features: DataFrame, names: list[str], config
 
 
 def train_at_scale(domain: DataFrame, features: DataFrame, names: list[str], config: Config = Config()) -> np.ndarray:
-    """Full-batch gradient descent: each iteration is one aggregation, which brings one row per feature to the driver."""
-    spark = domain.sparkSession
-    rows = features.join(domain.select(*KEY, "observed"), KEY).persist()
-    cells = domain.select("ind", "attr").distinct().count()
-    w, velocity = initial_weights(names, config.seed), np.zeros(len(names))
-    for step in range(config.learning_iterations):
-        p = probabilities(domain, features, weights_frame(spark, names, w)).select(*KEY, "probability")
-        grads = rows.join(p, KEY).groupBy("feature").agg(F.sum((F.col("probability") - F.col("observed")) * F.col("value")).alias("g"))
-        got = {r[0]: r[1] for r in grads.collect()}
-        grad = np.array([got.get(n, 0.0) for n in names]) / max(cells, 1)
-        velocity = config.momentum * velocity + grad + config.weight_decay * w
-        w = w - config.learning_rate * velocity
-        log.debug("iteration %d, gradient %.3g", step, float(np.abs(grad).max(initial=0)))
-    rows.unpersist()
-    return w
+    """The same steps as train_exact, of any number of features: cells are gathered in parallel, put in order and spooled by
+    one task, which then reads them from its disk in each iteration. Steps follow one another, so time grows with cells times iterations."""
+    if not names:
+        return initial_weights(names, config.seed)
+    width = len(names)
+
+    def run(batches):
+        import tempfile
+
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(names, pa.string())
+        kinds = {"first": np.int64, "code": np.int32, "cand": np.int32, "value": np.float64, "observed": np.int8}
+        with tempfile.TemporaryDirectory() as folder:
+            files = {k: open(f"{folder}/{k}", "wb") for k in kinds}
+            total = n_cells = 0
+            for batch in batches:
+                cells = batch.column("rows")
+                rows = cells.flatten()
+                if not len(rows):
+                    continue
+                sizes = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+                first = np.cumsum(sizes) - sizes
+                val, feature = rows.field("val"), rows.field("feature")
+                code = pc.fill_null(pc.index_in(feature, value_set=known), -1).to_numpy(zero_copy_only=False)
+                if (code[feature.is_valid().to_numpy(zero_copy_only=False)] < 0).any():
+                    raise ValueError("a feature without a name")
+                new = np.zeros(len(rows), np.int64)
+                new[1:] = pc.not_equal(val[1:], val[:-1]).to_numpy(zero_copy_only=False)
+                new[first] = 0
+                cand = np.cumsum(new)
+                out = {"first": total + first, "code": code, "cand": cand - np.repeat(cand[first], sizes), "value": pc.fill_null(rows.field("value"), 0.0).to_numpy(zero_copy_only=False), "observed": rows.field("observed").to_numpy(zero_copy_only=False) == 1}
+                for k, x in out.items():
+                    np.ascontiguousarray(x, kinds[k]).tofile(files[k])
+                total, n_cells = total + len(rows), n_cells + len(cells)
+            for f in files.values():
+                f.close()
+            w, velocity = initial_weights(names, config.seed), np.zeros(width)
+            if n_cells:
+                first, code, cand, value, observed = (np.memmap(f"{folder}/{k}", kind, "r") for k, kind in kinds.items())
+                size = min(config.batch_size, n_cells)
+                for _ in range(config.learning_iterations):
+                    for b in range(n_cells // size):
+                        grad = np.zeros(width)
+                        for c in range(b * size, (b + 1) * size):
+                            at = slice(int(first[c]), int(first[c + 1]) if c + 1 < n_cells else total)
+                            f, k, v = np.asarray(code[at]), np.asarray(cand[at]), np.asarray(value[at])
+                            n, has = int(k[-1]) + 1, f >= 0
+                            f, v, of = f[has], v[has], k[has]
+                            z = np.bincount(of, v * w[f], n)
+                            y = np.zeros(n)
+                            y[k[np.asarray(observed[at]) == 1]] = 1
+                            p = np.exp(z - z.max())
+                            grad += np.bincount(f, v * (p / p.sum() - y / max(y.sum(), 1))[of], width)
+                        velocity = config.momentum * velocity + grad / size + config.weight_decay * w
+                        w = w - config.learning_rate * velocity
+                del first, code, cand, value, observed
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"feature": names, "weight": w}), preserve_index=False)
+
+    rows = domain.select(*KEY, "observed").join(features, KEY, "left")
+    cells = rows.groupBy("ind", "attr").agg(F.array_sort(F.collect_list(F.struct("val", "feature", F.col("value").cast("double").alias("value"), F.col("observed").cast("int").alias("observed")))).alias("rows"))
+    found = {r[0]: r[1] for r in cells.repartition(1).sortWithinPartitions("ind", "attr").select("rows").mapInArrow(run, "feature string, weight double").collect()}
+    return np.array([found[n] for n in names]) if found else initial_weights(names, config.seed)
