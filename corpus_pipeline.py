@@ -21,16 +21,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id, and of rows that share that id one for each text.
-
-    A document without an id is kept unless its group has one with an id; of such a group without any id all rows are kept."""
-    found = cut(text_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept").where("kept")
-    found = found.select(F.col("doc_id").alias("kept_id"), "rows")
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.col("text").alias("t"))
-    hit = named.join(found, F.col("i").eqNullSafe(F.col("kept_id")))
-    once = hit.where("rows = 1 or i is null").select("row")
-    # Of rows that share an id, one for each text.
-    shared = hit.where("rows > 1 and i is not null").groupBy("i", F.xxhash64("t")).agg(F.first("row").alias("row")).select("row")
+    """Keep one row of each group: the one with the smallest doc_id, those without an id last, and of rows that share that id
+    the one whose text has the least hash. Texts without words are groups of their own; of those that share an id one stays for each text."""
+    # Rows are decided on by id and text, so neither null nor shared ids mix up the decisions.
+    name = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = text_dedup.near_duplicates(docs.select(name.alias("doc_id"), "text")).where("kept")
+    found = cut(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")), "kept")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("i"))
+    hit = named.join(found, F.col("i") == F.col("kept_id"))
+    alone = "rows = 1 or (i.no and n = 0)"
+    once = hit.where(alone).select("row")
+    shared = hit.where(f"not ({alone})").groupBy("i").agg(F.first("row").alias("row")).select("row")
     return once.union(shared).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
