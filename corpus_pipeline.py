@@ -59,7 +59,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained weights, hashes and a tokenizer decide: no SQL gives these rows. Tests compare with a brute-force version.
+#: Trained weights, hashes and a tokenizer decide: no SQL gives these rows. Tests hold the operators against brute force, the stages against
+#: what must be true of each, near_duplicates against rows worked out by hand; run() as a whole is not compared with another version.
 ORACLE_SQL = None
 
 
