@@ -22,14 +22,15 @@ class Config:
     k_inferred: int = 1
     seed: int = 42
     train_on_clean_only: bool = False
-    #: Candidate features up to which training holds them in memory; above, the same steps read them from disk.
-    exact_limit: int = 2_000_000
+    #: Training cells drawn at most, by a seeded hash. Steps of training follow one another, so they run in one task; this bounds its memory and time.
+    training_cells: int = 100_000
+    #: Log the seconds of loading, detection, domains, training and inference.
     verbose: bool = False
 
     def __post_init__(self):
-        for name in ("batch_size", "learning_iterations", "pruning_dk_breakoff", "pruning_clean_breakoff", "k_inferred"):
+        for name in ("batch_size", "learning_iterations", "pruning_dk_breakoff", "pruning_clean_breakoff", "k_inferred", "training_cells"):
             value = getattr(self, name)
             if not isinstance(value, int) or isinstance(value, bool) or value < 0:
                 raise ValueError(f"{name} must be a whole number of at least 0, not {value!r}")
-        if not self.k_inferred or not self.batch_size:
-            raise ValueError("k_inferred and batch_size must be at least 1")
+        if not self.k_inferred or not self.batch_size or not self.training_cells:
+            raise ValueError("k_inferred, batch_size and training_cells must be at least 1")

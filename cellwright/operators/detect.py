@@ -9,8 +9,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.constraint import Constraint
+from ..plans.constraint import OPERATORS, Constraint
 from ..sources.tables import INDEX, cells, flatten
+from .ordered import before, sides
 
 
 class Detector(Protocol):
@@ -67,8 +68,8 @@ class LabelledCells(_Rest):
 def violating(df: DataFrame, c: Constraint, name: str, ind: str = INDEX) -> DataFrame:
     """Row numbers that stand for tuple `name` in some violation, each once.
 
-    A dependency needs no self-join: a row violates it if its group has another value. Other constraints of two tuples are
-    semi-joins, on whatever equalities they have."""
+    A dependency needs no self-join: a row violates it if its group has another value. Neither do constraints of two tuples with
+    equalities and up to two comparisons, see _by_order. Others are semi-joins, on whatever equalities they have."""
     kind = c.kind()
     if kind == "single":
         return df.alias(name).where(c.column()).select(F.col(f"`{ind}`").alias("ind"))
@@ -79,10 +80,13 @@ def violating(df: DataFrame, c: Constraint, name: str, ind: str = INDEX) -> Data
         rows = df.where(known)
         split = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).where("__lo <> __hi")
         return rows.join(split, keys, "left_semi").select(F.col(f"`{ind}`").alias("ind"))
-    if kind == "theta":
-        warnings.warn(f"no equality joins the tuples of {c.text}: every pair of rows is compared", stacklevel=2)
     apart = lambda a, b: F.col(f"`{a}`.`{ind}`") != F.col(f"`{b}`.`{ind}`")
     if len(c.tuples) == 2:
+        found = _by_order(df, c, name, ind)
+        if found is not None:
+            return found
+        if kind == "theta":
+            warnings.warn(f"no equality joins the tuples of {c.text}: every pair of rows is compared", stacklevel=2)
         other = next(t for t in c.tuples if t != name)
         return df.alias(name).join(df.alias(other), c.column() & apart(name, other), "left_semi").select(F.col(f"`{ind}`").alias("ind"))
     order = [name, *(t for t in c.tuples if t != name)]
@@ -97,6 +101,58 @@ def violating(df: DataFrame, c: Constraint, name: str, ind: str = INDEX) -> Data
     return joined.select(F.col(f"`{name}`.`{ind}`").alias("ind")).distinct()
 
 
+def _by_order(df: DataFrame, c: Constraint, name: str, ind: str) -> DataFrame | None:
+    """violating() without pairs of rows, or None for constraints that this doesn't cover.
+
+    Does the group of rows that are equal in the keys hold another row that compares? Without a comparison the group's row
+    numbers tell; with one the group's extreme value, or the next one where the row holds the extreme itself; an unequal value
+    shows in the group's least or greatest; with two comparisons the group is sorted by the first, and the extreme of the second
+    among the rows before tells."""
+    s = sides(df, c, name)
+    if s is None:
+        return None
+    equal, unequal, compared = s.by("EQ"), s.by("IQ"), s.by("LT", "GT", "LTE", "GTE")
+    # No row compares with itself by < or > of an attribute with itself.
+    alone = any(x.operator in ("LT", "GT") and x.mine == x.other for x in compared)
+    if len(compared) + 2 * len(unequal) > 2 or (len(compared) == 2 and not alone) or any(x.mine != x.other for x in unequal):
+        return None
+    keys = [f"__k{i}" for i in range(len(equal))] or ["__k"]
+    every = lambda xs: reduce(lambda a, b: a & b, xs, F.lit(True))
+    me, others = F.col(f"`{ind}`").alias("__me"), F.col(f"`{ind}`").alias("__ind")
+    mine = [x.own.alias(k) for k, x in zip(keys, equal)] or [F.lit(0).alias("__k")]
+    its = [F.col(f"`{x.other}`").alias(k) for k, x in zip(keys, equal)] or [F.lit(0).alias("__k")]
+    known = every([F.col(k).isNotNull() for k in keys])
+    probes = lambda *more: df.where(every(s.own)).select(me, *mine, *more).where(known)
+    rows = lambda *more: df.where(every(s.other)).select(others, *its, *more).where(known)
+    meets = lambda op, a, b: OPERATORS[op][1](a, b)
+    out = F.col("__me").alias("ind")
+    if not compared and not unequal:
+        ends = rows().groupBy(*keys).agg(F.min("__ind").alias("__lo"), F.max("__ind").alias("__hi"))
+        return probes().join(ends, keys).where("__lo <> __me or __hi <> __me").select(out)
+    if unequal:
+        ends = rows(F.col(f"`{unequal[0].other}`").alias("__y")).groupBy(*keys).agg(F.min("__y").alias("__lo"), F.max("__y").alias("__hi"))
+        return probes(unequal[0].own.alias("__v")).join(ends, keys).where("__lo <> __v or __hi <> __v").select(out)
+    other, op, value = compared[-1].other, compared[-1].operator, compared[-1].own
+    best = F.max if op in ("GT", "GTE") else F.min
+    if len(compared) == 1:
+        group = rows(F.col(f"`{other}`").alias("__y")).where("__y is not null")
+        tops = group.groupBy(*keys).agg(best(F.struct("__y", "__ind")).alias("__top"))
+        joined = probes(value.alias("__v")).join(tops, keys)
+        if alone:
+            return joined.where(meets(op, F.col("__top.__y"), F.col("__v"))).select(out)
+        held = tops.select(*keys, F.col("__top.__ind").alias("__holder"))
+        second = group.join(held, keys).where("__ind <> __holder").groupBy(*keys).agg(best("__y").alias("__next"))
+        reached = F.when(F.col("__top.__ind") == F.col("__me"), F.col("__next")).otherwise(F.col("__top.__y"))
+        return joined.join(second, keys, "left").where(meets(op, reached, F.col("__v"))).select(out)
+    first, first_op, at = compared[0].other, compared[0].operator, compared[0].own
+    strict, down = first_op in ("LT", "GT"), first_op in ("GT", "GTE")
+    events = rows(F.col(f"`{first}`").alias("__x"), F.col(f"`{other}`").alias("__y")).select(*keys, "__x", F.lit(int(strict)).alias("__kind"), "__y", F.lit(None).cast(df.schema[ind].dataType).alias("__me"))
+    asked = probes(at.alias("__x"), value.alias("__v")).select(*keys, "__x", F.lit(int(not strict)).alias("__kind"), F.col("__v"), "__me")
+    both = events.withColumn("__v", F.lit(None).cast(df.schema[other].dataType)).unionByName(asked.withColumn("__y", F.lit(None).cast(df.schema[other].dataType))).where("__x is not null")
+    x = F.desc("__x") if down else F.asc("__x")
+    return before(both, keys, [x, F.asc("__kind")], "__y", best, "__best").where(F.col("__me").isNotNull() & meets(op, F.col("__best"), F.col("__v"))).select(out)
+
+
 def violations(df: DataFrame, c: Constraint, ind: str = INDEX) -> DataFrame:
     """Cells (ind, attr) that take part in a violation; a tuple that no predicate uses adds none."""
     parts, seen = [], {}

@@ -62,12 +62,25 @@ def _others(found: DataFrame, own: DataFrame) -> DataFrame:
     return found.join(own.select("ind", "attr", "val"), ["ind", "attr", "val"], "left_anti")
 
 
+def likeliest(lookup: DataFrame, least: float, k: int) -> DataFrame:
+    """What of a lookup can matter where each cell keeps its k likeliest candidates of probability `least` and more.
+
+    A candidate's probability is the largest of those that single values give it. So it reaches `least` only if one does, and a
+    value that isn't among the k likeliest of any value isn't among the k likeliest of a cell. k = 0: no limit."""
+    lookup = lookup.where(F.col("p") >= least)
+    if not k:
+        return lookup
+    order = Window.partitionBy("attr", "val", "attr2").orderBy(F.desc("p"), "val2")
+    return lookup.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
 def dk_domain(df: DataFrame, dk: DataFrame, lookup: DataFrame, config: Config = Config(), ind: str = INDEX, attrs: list[str] | None = None) -> DataFrame:
     """(ind, attr, val, observed) of suspect cells: the observed value and the likeliest others, at least threshold2 likely,
     up to the breakoff. A null observed value takes a place, too. Ties go to the smaller value."""
-    own = _observed(df, dk, ind, attrs)
-    found = _others(candidates(df, dk, lookup, ind, attrs).where(F.col("p") >= config.pruning_threshold2), own)
     k = config.pruning_dk_breakoff
+    own = _observed(df, dk, ind, attrs)
+    # k - 1 others are kept; the observed value may be one more of the k likeliest.
+    found = _others(candidates(df, dk, likeliest(lookup, config.pruning_threshold2, k), ind, attrs), own)
     if k:
         order = Window.partitionBy("ind", "attr").orderBy(F.desc("p"), "val")
         found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k - 1)
@@ -83,7 +96,7 @@ def clean_domain(df: DataFrame, clean: DataFrame, lookup: DataFrame, config: Con
     if k:
         half = max(k // 2 - 1, 0) if k > 1 else 0
         place = F.row_number().over(Window.partitionBy("ind", "attr").orderBy(F.desc("p"), "val"))
-        drawn = F.when(F.col("r") <= half, F.lit(None)).otherwise(F.xxhash64(F.lit(config.seed), "ind", "attr", "val"))
+        drawn = F.when(F.col("r") <= half, F.lit(None)).otherwise(F.md5(F.concat_ws("|", F.lit(str(config.seed)), "ind", "attr", "val")))
         order = Window.partitionBy("ind", "attr").orderBy(F.col("drawn").asc_nulls_first(), "r")
         found = found.withColumn("r", place).withColumn("drawn", drawn).withColumn("s", F.row_number().over(order)).where(F.col("s") <= k - 1)
     both = _with_observed(found, own)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.constraint import Constraint, Ref
 from ..sources.tables import INDEX, flatten
+from .ordered import before, sides
 
 KEY = ["ind", "attr", "val"]
 
@@ -60,22 +61,72 @@ class Relaxed:
         name, attribute = self.ref.tuple, self.ref.attribute
         others = [t for t in self.constraint.tuples if t != name]
         given = domain.where(F.col("attr") == attribute).select(*[F.col(k).alias(f"__cand_{k}") for k in KEY])
+        swap = F.col("__cand_val").cast(df.schema[attribute].dataType)
+        if len(others) == 1:
+            found = self._counted(df, given, swap, name, ind)
+            if found is not None:
+                return found
         row = df.alias(name).join(given, F.col(f"`{name}`.`{ind}`") == F.col("__cand_ind"))
-        swap = {self.side: F.col("__cand_val").cast(df.schema[attribute].dataType)}
-        conditions = [p.column(swap if i == self.number else None) for i, p in enumerate(self.constraint.predicates)]
-        for t in others:
-            conditions += [F.col(f"`{name}`.`{ind}`") != F.col(f"`{t}`.`{ind}`")]
-        if len(self.constraint.tuples) == 2 and not self.different:
-            a, b = (F.col(f"`{t}`.`{ind}`") for t in self.constraint.tuples)
-            conditions[-1] = a < b
-        every = reduce(lambda a, b: a & b, conditions)
+        conditions = [p.column({self.side: swap} if i == self.number else None) for i, p in enumerate(self.constraint.predicates)]
         if not others:
-            hit = row.where(every)
-        else:
-            for t in others[:-1]:
-                row = row.crossJoin(df.alias(t))  # the optimizer turns this and the conditions into joins
-            hit = row.join(df.alias(others[-1]), every)
-        return hit.groupBy(*[F.col(f"__cand_{k}").alias(k) for k in KEY]).agg(F.count("*").alias("n"))
+            return _per_candidate(row.where(_all(conditions)))
+        # A tuple is joined on what ties it to those before; the order of two tuples replaces their inequality.
+        done = [name]
+        for t in others:
+            done.append(t)
+            apart = [F.col(f"`{s}`.`{ind}`") != F.col(f"`{t}`.`{ind}`") for s in done[:-1]]
+            if len(self.constraint.tuples) == 2 and not self.different:
+                a, b = (F.col(f"`{x}`.`{ind}`") for x in self.constraint.tuples)
+                apart = [a < b]
+            ready = [x for x, p in zip(conditions, self.constraint.predicates) if t in (named := {r.tuple for r in p.refs()}) | {name} and named <= set(done)]
+            row = row.join(df.alias(t), _all(ready + apart))
+        return _per_candidate(row.where(_all(conditions)))
+
+    def _counted(self, df: DataFrame, given: DataFrame, swap: Column, name: str, ind: str) -> DataFrame | None:
+        """counts() of two tuples by the place of a candidate's row among the rows of its group, without pairs of rows; None where
+        more than equalities and one inequality tie the tuples."""
+        s = sides(df, self.constraint, name, (self.number, self.side, swap))
+        if s is None or len(s.by("IQ")) + len(s.by("EQ")) < len(s.across) or len(s.by("IQ")) > 1:
+            return None
+        unequal = s.by("IQ")
+        kinds = [x.other for x in s.by("EQ")]
+        keys = [f"__k{i}" for i in range(len(kinds))] or ["__k"]
+        me = [F.col(f"__cand_{k}") for k in KEY]
+        mine = [x.own.alias(k) for k, x in zip(keys, s.by("EQ"))] or [F.lit(0).alias("__k")]
+        value = [x.own.alias("__v") for x in unequal]
+        probes = df.join(given, F.col(f"`{ind}`") == F.col("__cand_ind")).where(_all(s.own))
+        # Does a candidate's own row stand in the group, and with the same value? Such a row doesn't count.
+        itself = _all([*s.other, *(x.own == F.col(f"`{x.other}`") for x in s.by("EQ")), *(F.col(f"`{x.other}`").isNotNull() for x in unequal)])
+        same = [(x.own == F.col(f"`{x.other}`")) for x in unequal]
+        probes = probes.select(*me, *mine, *value, F.coalesce(itself, F.lit(False)).alias("__in"), F.coalesce(_all([itself, *same]), F.lit(False)).alias("__same"))
+        known = _all([F.col(k).isNotNull() for k in keys])
+        probes = probes.where(known if not unequal else known & F.col("__v").isNotNull())
+        rows = df.where(_all(s.other)).select(F.col(f"`{ind}`").alias("__ind"), *([F.col(f"`{a}`").alias(k) for k, a in zip(keys, kinds)] or [F.lit(0).alias("__k")]), *[F.col(f"`{x.other}`").alias("__v") for x in unequal])
+        rows = rows.where(known if not unequal else known & F.col("__v").isNotNull())
+        every = self._beside(rows, probes, keys, name, "__in", "__n")
+        if unequal:
+            every = self._beside(rows, every, [*keys, "__v"], name, "__same", "__equal").withColumn("__n", F.col("__n") - F.col("__equal"))
+        return every.where("__n > 0").select(*[F.col(f"__cand_{k}").alias(k) for k in KEY], F.col("__n").alias("n"))
+
+    def _beside(self, rows: DataFrame, probes: DataFrame, keys: list[str], name: str, itself: str, out: str) -> DataFrame:
+        """probes with the number of rows of the same keys: other rows if self.different, else those on the far side in the order of row numbers."""
+        if self.different:
+            sums = rows.groupBy(*keys).agg(F.count("*").alias("__all"))
+            return probes.join(sums, keys, "left").withColumn(out, F.coalesce("__all", F.lit(0)) - F.col(itself).cast("long")).drop("__all")
+        after = self.constraint.tuples[0] == name  # the other tuple's row number is the greater one
+        asked = probes.withColumns({"__ind": F.col("__cand_ind"), "__one": F.lit(0)})
+        both = asked.unionByName(rows.select(*keys, "__ind", F.lit(1).alias("__one")), allowMissingColumns=True)
+        order = [F.desc("__ind") if after else F.asc("__ind"), F.asc("__one")]
+        counted = before(both, keys, order, "__one", F.sum, out).where("__one = 0")
+        return counted.withColumn(out, F.coalesce(out, F.lit(0))).drop("__one", "__ind")
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def _per_candidate(hits: DataFrame) -> DataFrame:
+    return hits.groupBy(*[F.col(f"__cand_{k}").alias(k) for k in KEY]).agg(F.count("*").alias("n"))
 
 
 class Violations:

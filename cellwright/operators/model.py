@@ -35,111 +35,71 @@ def top(inferred: DataFrame, k: int = 1) -> DataFrame:
     return inferred.where("probability > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def train(domain: DataFrame, features: DataFrame, names: list[str], config: Config = Config()) -> np.ndarray:
-    """Weights by one rule at every size: in memory while the features number config.exact_limit at most, else from a task's disk."""
-    return train_exact(domain, features, names, config) if features.count() <= config.exact_limit else train_at_scale(domain, features, names, config)
-
-
-def train_exact(domain: DataFrame, features: DataFrame, names: list[str], config: Config = Config()) -> np.ndarray:
-    """Sequential mini-batches in the order of cells, in one task: SGD on the mean cross-entropy with momentum and weight decay;
-    a last batch that isn't full is dropped. Its input is bounded by config.exact_limit."""
-    number = {n: i for i, n in enumerate(names)}
-    width = len(names)
-
-    def run(f):
-        import pandas as pd
-
-        f = f.sort_values(["ind", "attr", "val", "feature"], kind="stable")
-        cells, batch_x, batch_y, batch_cell = [], [], [], []
-        for _, g in f.groupby(["ind", "attr"], sort=False):
-            codes, _ = pd.factorize(g["val"])
-            x = np.zeros((codes.max() + 1, width))
-            known = g["feature"].notna().to_numpy()
-            x[codes[known], g["feature"][known].map(number).to_numpy(int)] = g["value"][known]
-            y = np.zeros(len(x))
-            y[codes[g["observed"].to_numpy() == 1]] = 1
-            cells.append((x, y / max(y.sum(), 1)))
-        w, velocity = initial_weights(names, config.seed), np.zeros(width)
-        size = min(config.batch_size, len(cells))
-        for _ in range(config.learning_iterations):
-            for b in range(len(cells) // size if size else 0):
-                grad = np.zeros(width)
-                for x, y in cells[b * size : (b + 1) * size]:
-                    z = x @ w
-                    p = np.exp(z - z.max())
-                    grad += x.T @ (p / p.sum() - y)
-                velocity = config.momentum * velocity + grad / size + config.weight_decay * w
-                w = w - config.learning_rate * velocity
-        return pd.DataFrame({"feature": names, "weight": w})
-
-    rows = domain.select(*KEY, "observed").join(features, KEY, "left")
-    found = {r[0]: r[1] for r in rows.groupBy(F.col("ind") < 0).applyInPandas(lambda f: run(f), "feature string, weight double").collect()} if names else {}
-    return np.array([found[n] for n in names]) if found else initial_weights(names, config.seed)
-
-
-def train_at_scale(domain: DataFrame, features: DataFrame, names: list[str], config: Config = Config()) -> np.ndarray:
-    """The same steps as train_exact, of any number of features: cells are gathered in parallel, put in order and spooled by
-    one task, which then reads them from its disk in each iteration. Steps follow one another, so time grows with cells times iterations."""
+def drawn(cells: DataFrame, config: Config = Config()) -> DataFrame:
+    """At most config.training_cells of the cells (ind, attr), those with the least seeded hashes."""
+    return cells.select("ind", "attr").distinct().orderBy(F.xxhash64(F.lit(config.seed), "ind", "attr"), "ind", "attr").limit(config.training_cells)
+
+
+def train(domain: DataFrame, features: DataFrame, names: list[str], config: Config = Config(), start: np.ndarray | None = None) -> np.ndarray:
+    """Weights, by one rule at every size: sequential mini-batches in the order of cells, SGD on the mean cross-entropy with momentum and
+    weight decay; a last batch that isn't full is dropped.
+
+    Each step needs the one before, so the steps run in one task, on the candidates of the cells `drawn`; these are gathered in parallel.
+    start: weights to begin with, by default seeded random ones."""
+    start = initial_weights(names, config.seed) if start is None else np.asarray(start, float)
     if not names:
-        return initial_weights(names, config.seed)
-    width = len(names)
+        return start
+    cells = F.broadcast(drawn(domain, config))  # training_cells rows at most
+    rows = domain.select(*KEY, "observed").join(cells, ["ind", "attr"], "left_semi").join(features, KEY, "left")
+    code = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.col("feature"))
+    row = F.struct("val", code.alias("code"), F.col("value").cast("double").alias("value"), F.col("observed").cast("int").alias("observed"))
+    cells = rows.groupBy("ind", "attr").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def run(batches):
-        import tempfile
-
-        import pandas as pd
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        known = pa.array(names, pa.string())
-        kinds = {"first": np.int64, "code": np.int32, "cand": np.int32, "value": np.float64, "observed": np.int8}
-        with tempfile.TemporaryDirectory() as folder:
-            files = {k: open(f"{folder}/{k}", "wb") for k in kinds}
-            total = n_cells = 0
-            for batch in batches:
-                cells = batch.column("rows")
-                rows = cells.flatten()
-                if not len(rows):
-                    continue
-                sizes = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
-                first = np.cumsum(sizes) - sizes
-                val, feature = rows.field("val"), rows.field("feature")
-                code = pc.fill_null(pc.index_in(feature, value_set=known), -1).to_numpy(zero_copy_only=False)
-                if (code[feature.is_valid().to_numpy(zero_copy_only=False)] < 0).any():
-                    raise ValueError("a feature without a name")
-                new = np.zeros(len(rows), np.int64)
-                new[1:] = pc.not_equal(val[1:], val[:-1]).to_numpy(zero_copy_only=False)
-                new[first] = 0
-                cand = np.cumsum(new)
-                out = {"first": total + first, "code": code, "cand": cand - np.repeat(cand[first], sizes), "value": pc.fill_null(rows.field("value"), 0.0).to_numpy(zero_copy_only=False), "observed": rows.field("observed").to_numpy(zero_copy_only=False) == 1}
-                for k, x in out.items():
-                    np.ascontiguousarray(x, kinds[k]).tofile(files[k])
-                total, n_cells = total + len(rows), n_cells + len(cells)
-            for f in files.values():
-                f.close()
-            w, velocity = initial_weights(names, config.seed), np.zeros(width)
-            if n_cells:
-                first, code, cand, value, observed = (np.memmap(f"{folder}/{k}", kind, "r") for k, kind in kinds.items())
-                size = min(config.batch_size, n_cells)
-                for _ in range(config.learning_iterations):
-                    for b in range(n_cells // size):
-                        grad = np.zeros(width)
-                        for c in range(b * size, (b + 1) * size):
-                            at = slice(int(first[c]), int(first[c + 1]) if c + 1 < n_cells else total)
-                            f, k, v = np.asarray(code[at]), np.asarray(cand[at]), np.asarray(value[at])
-                            n, has = int(k[-1]) + 1, f >= 0
-                            f, v, of = f[has], v[has], k[has]
-                            z = np.bincount(of, v * w[f], n)
-                            y = np.zeros(n)
-                            y[k[np.asarray(observed[at]) == 1]] = 1
-                            p = np.exp(z - z.max())
-                            grad += np.bincount(f, v * (p / p.sum() - y / max(y.sum(), 1))[of], width)
-                        velocity = config.momentum * velocity + grad / size + config.weight_decay * w
-                        w = w - config.learning_rate * velocity
-                del first, code, cand, value, observed
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"feature": names, "weight": w}), preserve_index=False)
-
-    rows = domain.select(*KEY, "observed").join(features, KEY, "left")
-    cells = rows.groupBy("ind", "attr").agg(F.array_sort(F.collect_list(F.struct("val", "feature", F.col("value").cast("double").alias("value"), F.col("observed").cast("int").alias("observed")))).alias("rows"))
+
+        w = learnt([b.column("rows") for b in batches], start, config)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(w)], ["feature", "weight"])
+
     found = {r[0]: r[1] for r in cells.repartition(1).sortWithinPartitions("ind", "attr").select("rows").mapInArrow(run, "feature string, weight double").collect()}
-    return np.array([found[n] for n in names]) if found else initial_weights(names, config.seed)
+    return np.array([found[n] for n in names]) if found else start
+
+
+def learnt(columns: list, start: np.ndarray, config: Config) -> np.ndarray:
+    """The steps of `train` over Arrow arrays of cells, each a list of rows (val, code, value, observed) in the order of val."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    w, velocity, width = start.copy(), np.zeros(len(start)), len(start)
+    cells = pa.concat_arrays(columns) if columns else pa.array([], pa.list_(pa.struct([])))
+    if not len(cells):
+        return w
+    rows = cells.flatten()
+    sizes = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+    begin = np.r_[0, np.cumsum(sizes)]
+    val = rows.field("val")
+    new = np.ones(len(rows), bool)
+    new[1:] = pc.not_equal(val[1:], val[:-1]).to_numpy(zero_copy_only=False)
+    new[begin[:-1]] = True
+    cand = np.cumsum(new) - 1  # candidates, numbered through
+    of = np.r_[cand[begin[:-1]], cand[-1] + 1]  # first candidate of each cell
+    code = pc.fill_null(rows.field("code"), -1).to_numpy(zero_copy_only=False)
+    value = pc.fill_null(rows.field("value"), 0.0).to_numpy(zero_copy_only=False)
+    y = np.zeros(of[-1])
+    y[cand[rows.field("observed").to_numpy(zero_copy_only=False) == 1]] = 1
+    y /= np.repeat(np.maximum(np.add.reduceat(y, of[:-1]), 1), np.diff(of))
+    has = code >= 0
+    code, value, cand, begin = code[has], value[has], cand[has], np.r_[0, np.cumsum(has)][begin]
+    size = min(config.batch_size, len(cells))
+    for _ in range(config.learning_iterations):
+        for c in range(0, len(cells) // size * size, size):
+            at, first, last = slice(begin[c], begin[c + size]), of[c], of[c + size]
+            f, v, k = code[at], value[at], cand[at] - first
+            heads, n = of[c : c + size] - first, np.diff(of[c : c + size + 1])
+            z = np.bincount(k, v * w[f], last - first)
+            p = np.exp(z - np.repeat(np.maximum.reduceat(z, heads), n))
+            p /= np.repeat(np.add.reduceat(p, heads), n)
+            grad = np.bincount(f, v * (p - y[first:last])[k], width)
+            velocity = config.momentum * velocity + grad / size + config.weight_decay * w
+            w = w - config.learning_rate * velocity
+    return w

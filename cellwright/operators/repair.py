@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..plans.constraint import Constraint, load, parse
 from ..sources import tables
+from ..sources.scratch import cut, forget
 from ..sources.tables import INDEX, attributes
 from . import domain as dom
 from . import evaluate, features, model
-from .detect import Detector, detect
+from .detect import Detector, LabelledCells, detect
 
 log = logging.getLogger(__name__)
 
@@ -28,7 +31,7 @@ def repaired(df: DataFrame, map_values: DataFrame, ind: str = INDEX, attrs: list
 
 
 class Session:
-    """One cleaning run: load, constrain, detect, repair, compare."""
+    """One cleaning run: load, constrain, detect, repair, compare. Its intermediate tables stand in the shared folder until reset."""
 
     def __init__(self, spark: SparkSession, config: Config = Config(), ind: str = INDEX):
         self.spark, self.config, self.ind = spark, config, ind
@@ -36,15 +39,36 @@ class Session:
         self.constraints: list[Constraint] = []
         self.featurizers: list[features.Featurizer] = []
         self.init = self.clean = self.dk = self.inferred = self.map_values = self.weights = None
+        self.cuts: list[DataFrame] = []
+
+    @contextmanager
+    def _timed(self, what: str):
+        began = time.monotonic()
+        yield
+        log.log(logging.WARNING if self.config.verbose else logging.DEBUG, "%s took %.3f s", what, time.monotonic() - began)
+
+    def _cut(self, df: DataFrame, what: str) -> DataFrame:
+        self.cuts.append(cut(df, what))
+        return self.cuts[-1]
 
     def load_data(self, path: str, **options) -> DataFrame:
-        return self.use(tables.read(self.spark, path, index=True, **options))
+        with self._timed("loading"):
+            return self.use(tables.read(self.spark, path, index=True, **options))
 
     def use(self, df: DataFrame) -> DataFrame:
         """Take a table that has the row number already."""
         self.init = self.catalog.add("Init", df)
+        self.catalog.add("Map_schema", tables.map_schema(df, self.ind))
         return df
 
+    def load_dirty_data(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """(clean, dk) by a CSV of suspect cells (ind, attr), in place of detection; all others are clean."""
+        return self.detect_errors([LabelledCells(tables.read_cells(self.spark, path))])
+
+    def load_clean_data(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """(clean, dk) by a CSV of clean cells (ind, attr), in place of detection; all others are suspect."""
+        return self.detect_errors([LabelledCells(tables.read_cells(self.spark, path), clean=True)])
+
     def load_denial_constraints(self, path: str) -> list[Constraint]:
         lines = [r[0] for r in self.spark.read.text(path).collect()]
         self.constraints += load(lines, self.init.columns, [c.text for c in self.constraints])
@@ -64,39 +88,47 @@ class Session:
 
     def detect_errors(self, detectors: list[Detector]) -> tuple[DataFrame, DataFrame]:
         """(clean, dk) by the detectors given now, whatever was detected before."""
-        self.clean, self.dk = (x.persist() for x in detect(self.init, detectors, self.ind))
-        self.catalog.add("C_clean", self.clean)
-        self.catalog.add("C_dk", self.dk)
+        with self._timed("error detection"):
+            clean, dk = detect(self.init, detectors, self.ind)
+            self.clean, self.dk = self.catalog.add("C_clean", self._cut(clean, "clean")), self.catalog.add("C_dk", self._cut(dk, "dk"))
         return self.clean, self.dk
 
     def domains(self) -> tuple[DataFrame, DataFrame, list[str]]:
-        """(training domain, suspect domain, dirty attributes)."""
+        """(training domain, suspect domain, dirty attributes). Counts are over the whole table; the training domain is that of the cells drawn."""
         dirty = dom.dirty_attributes(self.init, self.dk, self.ind)
-        self.values = dom.value_counts(self.init, self.ind).persist()
-        self.pairs = dom.pair_counts(self.init, dirty, self.ind).persist()
-        lookup = dom.cooccurrence(self.pairs, self.values, self.config.pruning_threshold1)
+        self.values = self._cut(dom.value_counts(self.init, self.ind), "values")
+        self.pairs = self._cut(dom.pair_counts(self.init, dirty, self.ind), "pairs")
+        lookup = self._cut(dom.cooccurrence(self.pairs, self.values, self.config.pruning_threshold1), "lookup")
         training = tables.cells(self.init, self.ind, dirty or None).join(self.dk, ["ind", "attr"], "left_anti")
         if self.config.train_on_clean_only:
             training = training.join(self.clean, ["ind", "attr"], "left_semi")
-        return dom.clean_domain(self.init, training, lookup, self.config, self.ind), dom.dk_domain(self.init, self.dk, lookup, self.config, self.ind), dirty
+        training = self._cut(model.drawn(training, self.config), "drawn")
+        clean = dom.clean_domain(self.init, training, lookup, self.config, self.ind)
+        return self._cut(clean, "training"), self._cut(dom.dk_domain(self.init, self.dk, lookup, self.config, self.ind), "suspect"), dirty
+
+    def repair(self, weights: dict[str, float] | None = None) -> DataFrame:
+        """The repaired table. Where no cell can be learned from, the weights stay as drawn, with a warning; cells without candidates stay as they are.
 
-    def repair(self) -> DataFrame:
-        """The repaired table. Where no cell can be learned from, the weights stay as drawn, with a warning; cells without candidates stay as they are."""
+        weights: by feature, in place of training."""
         if self.dk is None:
             raise RuntimeError("detect errors first")
-        training, suspect, dirty = self.domains()
-        training, suspect = training.persist(), suspect.persist()
+        with self._timed("domains"):
+            training, suspect, dirty = self.domains()
         signals = [features.Observed(), *([features.Violations(self.constraints)] if self.constraints else []), features.Cooccurrence(dirty, self.pairs, self.values), *self.featurizers]
         names = [n for f in signals for n, _, _ in f.names()]
-        self.feature_map = features.feature_map(self.spark, signals)
-        if training.isEmpty():
-            log.warning("no clean cell has a choice of candidates: nothing to learn from")
-            w = model.initial_weights(names, self.config.seed)
-        else:
-            w = model.train(training, features.normalized(features.featurize(self.init, training, signals, self.ind)).persist(), names, self.config)
+        self.feature_map = self.catalog.add("Feature_id_map", features.feature_map(self.spark, signals))
+        with self._timed("training"):
+            if weights is not None:
+                w = [float(weights.get(n, 0.0)) for n in names]
+            elif training.isEmpty():
+                log.warning("no clean cell has a choice of candidates: nothing to learn from")
+                w = model.initial_weights(names, self.config.seed)
+            else:
+                w = model.train(training, features.normalized(features.featurize(self.init, training, signals, self.ind)), names, self.config)
         self.weights = model.weights_frame(self.spark, names, w)
-        chances = model.probabilities(suspect, features.normalized(features.featurize(self.init, suspect, signals, self.ind)), self.weights)
-        self.inferred = self.catalog.add("Inferred_values", model.top(chances, self.config.k_inferred).persist())
+        with self._timed("inference"):
+            chances = model.probabilities(suspect, features.normalized(features.featurize(self.init, suspect, signals, self.ind)), self.weights)
+            self.inferred = self.catalog.add("Inferred_values", self._cut(model.top(chances, self.config.k_inferred), "inferred"))
         self.map_values = self.catalog.add("Inferred_map", self.inferred.where("rank = 1"))
         return self.catalog.add("Repaired_dataset", repaired(self.init, self.map_values, self.ind))
 
@@ -106,4 +138,7 @@ class Session:
         return evaluate.compare(self.init, self.dk, self.inferred, truth, self.ind)
 
     def reset(self) -> None:
+        """Drop the session's tables and delete what it wrote to the shared folder."""
         self.catalog.reset()
+        forget(*self.cuts)
+        self.cuts = []

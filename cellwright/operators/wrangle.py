@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..sources.tables import read, write_csv
 
 LEVENSHTEIN = "levenshtein"
 
@@ -31,9 +32,7 @@ class Transformer:
         new = {}
         for c in self.columns:
             if isinstance(df.schema[c].dataType, T.StringType):
-                new[c] = F.col(f"`{c}`")
-                for f in self.functions:
-                    new[c] = f(new[c])
+                new[c] = text.folded(self.functions, F.col(f"`{c}`"))
         return df.withColumns(new)
 
 
@@ -138,3 +137,7 @@ def default_wrangler(columns: list[str]) -> Wrangler:
     return w
 
 
+def wrangle_file(spark: SparkSession, source: str, target: str) -> None:
+    """Lower-case, trim and cluster every column of a table and write it as CSV with a header."""
+    table = read(spark, source)
+    write_csv(default_wrangler(table.columns).wrangle(table), target)

@@ -65,7 +65,10 @@ class Predicate:
     def column(self, swap: dict[str, Column] | None = None) -> Column:
         """swap: columns in place of operands, by "left" and "right"."""
         swap = swap or {}
-        return OPERATORS[self.operator][1](swap.get("left", self.left.column()), swap.get("right", self.right.column()))
+        return self.compared(swap.get("left", self.left.column()), swap.get("right", self.right.column()))
+
+    def compared(self, left: Column, right: Column) -> Column:
+        return OPERATORS[self.operator][1](left, right)
 
     def __str__(self) -> str:
         return f"{self.left}{OPERATORS[self.operator][0]}{self.right}"
@@ -113,23 +116,23 @@ def _parts(text: str) -> list[str]:
             continue
         word += c
     if quote:
-        raise ConstraintError(f"a literal isn't closed in {text}")
+        raise ConstraintError(f"a literal without its closing quote: {text}")
     return [*out, word]
 
 
 def _operand(text: str, tuples: list[str], schema: list[str], whole: str) -> Ref | Literal:
     if text[:1] in ("'", '"') and len(text) > 1:
         if text[-1] != text[0] or text[0] in text[1:-1]:
-            raise ConstraintError(f"expected ) after the literal in {whole}")
+            raise ConstraintError(f"text follows a quoted literal: {whole}")
         return Literal(text[1:-1])
     names = [n for n in tuples if text.startswith(n + ".")]
     if not names:
-        raise ConstraintError(f"tuple {text.partition('.')[0]} isn't declared in {whole}")
+        raise ConstraintError(f"{text.partition('.')[0]} is none of the declared tuples: {whole}")
     name = max(names, key=len)
     attribute = text[len(name) + 1 :]
     found = [a for a in schema if a == attribute] or [a for a in schema if a.lower() == attribute.lower()]
     if not found:
-        raise ConstraintError(f"attribute {attribute} isn't in the schema: {whole}")
+        raise ConstraintError(f"the table has no attribute {attribute}: {whole}")
     return Ref(name, found[0])
 
 
@@ -137,10 +140,10 @@ def _predicate(text: str, tuples: list[str], schema: list[str]) -> Predicate:
     head, bracket, rest = text.partition("(")
     if head not in OPERATORS or not bracket:
         known = re.search("|".join(sorted(OPERATORS, key=len, reverse=True)), text)
-        raise ConstraintError(f"{'the operator does not come first' if known else 'no operator'} in {text}")
+        raise ConstraintError(f"a predicate begins with its operator: {text}" if known else f"a predicate without operator: {text}")
     if not rest.endswith(")"):
-        raise ConstraintError(f"expected ) at the end of {text}")
-    operands, quote, word, depth = [], "", "", 0
+        raise ConstraintError(f"a predicate ends with its bracket: {text}")
+    operands, quote, word = [], "", ""
     for c in rest[:-1]:
         if quote:
             quote = "" if c == quote else quote
@@ -151,16 +154,14 @@ def _predicate(text: str, tuples: list[str], schema: list[str]) -> Predicate:
             word = ""
             continue
         elif c in "()":
-            depth += 1 if c == "(" else -1
-            if depth < 0:
-                raise ConstraintError(f"closed an unopened ( in {text}")
+            raise ConstraintError(f"brackets within a predicate are only for literals in quotes: {text}")
         word += c
     operands.append(word.strip())
     if len(operands) != 2:
-        raise ConstraintError(f"{'less' if len(operands) < 2 else 'more'} than 2 operands in {text}")
+        raise ConstraintError(f"a predicate has two operands, not {len(operands)}: {text}")
     left, right = (_operand(x, tuples, schema, text) for x in operands)
     if isinstance(left, Literal):
-        raise ConstraintError(f"a literal may only be on the right in {text}")
+        raise ConstraintError(f"a literal stands on the right: {text}")
     return Predicate(head, left, right)
 
 
@@ -174,7 +175,7 @@ def parse(text: str, schema: list[str]) -> Constraint:
     if not tuples or not all(tuples) or len(set(tuples)) < len(tuples):
         raise ConstraintError(f"tuples must be declared once each, before the predicates: {text}")
     if first == len(parts):
-        raise ConstraintError(f"no operator in {text}")
+        raise ConstraintError(f"no predicate: {text}")
     return Constraint(text, tuple(tuples), tuple(_predicate(p, tuples, schema) for p in parts[first:]))
 
 
@@ -184,7 +185,7 @@ def load(lines: list[str], schema: list[str], known: list[str] | None = None) ->
     for line in (x.rstrip() for x in lines):
         if line.strip():
             if line in seen:
-                raise ConstraintError(f"constraint already added: {line}")
+                raise ConstraintError(f"this constraint is there already: {line}")
             seen.add(line)
             out.append(parse(line, schema))
     return out

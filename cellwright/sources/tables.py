@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import cut, plain_read
+
 INDEX = "__ind"
 FORMATS = ("csv", "parquet", "orc", "json")
 
@@ -28,16 +30,23 @@ def read(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
 def with_index(df: DataFrame, name: str = INDEX, order: list[str] | None = None, start: int = 1) -> DataFrame:
     """Number the rows from `start`, in the order given or else the order read, as the last column.
 
-    A row's number is its place in its partition plus the sizes of the partitions before, so nothing meets in one task.
-    What is added up beforehand is one row per partition."""
-    kept = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    kept = kept.withColumn("__m", F.monotonically_increasing_id()).persist()
+    A row's number is its place in its partition plus the sizes of the partitions before, so nothing meets in one task; one row per
+    partition is added up and broadcast. A plain read of files is read twice; anything else is written to the shared folder first,
+    as its rows needn't come in the same order again."""
+    names = [f"c{i}" for i in range(len(df.columns))]  # a file takes no names that differ in case alone
+    kept = df.toDF(*names)
+    if order:
+        places = [names[df.columns.index(c)] for c in order]
+        kept = kept.repartitionByRange(*places).sortWithinPartitions(*places)
+    kept = kept.withColumn("__m", F.monotonically_increasing_id())
+    if order or not plain_read(df):
+        kept = cut(kept, "rows")
     part = F.shiftright("__m", 33)
     sizes = kept.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     ahead = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__a"))
-    joined = kept.withColumn("__p", part).join(F.broadcast(ahead), "__p")
+    joined = kept.withColumn("__q", part).join(F.broadcast(ahead), F.col("__q") == F.col("__p"))
     place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__a") + place + start).cast("long").alias(name))
+    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)], (F.col("__a") + place + start).cast("long").alias(name))
 
 
 def without_long_columns(df: DataFrame, longest: int = 255) -> DataFrame:
@@ -73,6 +82,11 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="tid long, attr_name string, attr_val string")
 
 
+def map_schema(df: DataFrame, ind: str = INDEX) -> DataFrame:
+    """(attr_id, attribute): the attributes from 1, without the row number."""
+    return df.sparkSession.createDataFrame(list(enumerate(attributes(df, ind), 1)), "attr_id int, attribute string")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -79,6 +79,22 @@ def test_repair_and_evaluation(spark, table):
     assert s.remove_denial_constraint(0).text == RULES[0]
 
 
+def test_session_with_labelled_cells(spark, table, tmp_path, caplog):
+    path = str(tmp_path / "cells.csv")
+    tables.write_csv(spark.createDataFrame([(1, "B"), (2, "B")], "ind long, attr string"), path)
+    s = repair.Session(spark, Config(learning_iterations=1, verbose=True))
+    s.use(table)
+    assert pairs(s.catalog.get("Map_schema"), "attr_id", "attribute") == list(enumerate("ABCDE", 1))
+    clean, dk = s.load_dirty_data(path)
+    assert pairs(dk, "ind", "attr") == [(1, "B"), (2, "B")] and clean.count() == 13
+    assert s.repair().count() == 3 and {r.attr for r in s.inferred.collect()} == {"B"}
+    assert {x for x in ("error detection", "training", "inference") if x in caplog.text} == {"error detection", "training", "inference"}
+    clean, dk = s.load_clean_data(path)
+    assert pairs(clean, "ind", "attr") == [(1, "B"), (2, "B")] and dk.count() == 13
+    s.reset()
+    assert not s.catalog.tables and not s.cuts
+
+
 def test_probabilities_sum_to_one_and_training_learns(spark):
     rng = np.random.default_rng(1)
     domain = [(i, "a", v, int(v == "x")) for i in range(60) for v in "xyz"]
@@ -86,11 +102,10 @@ def test_probabilities_sum_to_one_and_training_learns(spark):
     domain = spark.createDataFrame(domain, "ind long, attr string, val string, observed int")
     feats = spark.createDataFrame(feats, "ind long, attr string, val string, feature string, value double")
     config = Config(learning_rate=0.5, weight_decay=0.0, learning_iterations=15, batch_size=10)
-    for way in (model.train_exact, model.train_at_scale):
-        w = way(domain, feats, ["f1", "f2"], config)
-        assert w[0] > model.initial_weights(["f1", "f2"], config.seed)[0]
-        p = model.probabilities(domain, feats, model.weights_frame(spark, ["f1", "f2"], w))
-        assert all(abs(r[1] - 1) < 1e-9 for r in p.groupBy("ind").agg(F.sum("probability")).collect())
+    w = model.train(domain, feats, ["f1", "f2"], config)
+    assert w[0] > model.initial_weights(["f1", "f2"], config.seed)[0]
+    p = model.probabilities(domain, feats, model.weights_frame(spark, ["f1", "f2"], w))
+    assert all(abs(r[1] - 1) < 1e-9 for r in p.groupBy("ind").agg(F.sum("probability")).collect())
 
 
 def test_dependency_equals_self_join(spark):
@@ -122,7 +137,7 @@ def test_parser_accepts():
 def test_detectors_and_config():
     with pytest.raises(ValueError):
         detect.detect(None, [])
-    for bad in ({"pruning_dk_breakoff": 2.5}, {"k_inferred": 0}):
+    for bad in ({"pruning_dk_breakoff": 2.5}, {"k_inferred": 0}, {"training_cells": 0}):
         with pytest.raises(ValueError):
             Config(**bad)
 

@@ -4,11 +4,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from cellwright.operators.wrangle import default_wrangler
-from cellwright.sources.tables import read, write_csv
+from cellwright.operators.wrangle import wrangle_file
 
 if __name__ == "__main__":
     if len(sys.argv) != 3:
         sys.exit(__doc__)
-    table = read(SparkSession.builder.getOrCreate(), sys.argv[1])
-    write_csv(default_wrangler(table.columns).wrangle(table), sys.argv[2])
+    wrangle_file(SparkSession.builder.getOrCreate(), sys.argv[1], sys.argv[2])
