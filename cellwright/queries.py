@@ -13,8 +13,9 @@ from .config import Config
 from .functions import text
 from .operators import detect, evaluate, features, model, repair, wrangle
 from .operators import domain as dom
-from .plans.constraint import parse
+from .plans.constraint import ConstraintError, parse
 from .sources import tables
+from .sources.scratch import cut, new_folder
 
 ATTRS = ["p_name", "p_brand", "p_type", "p_size"]
 DIRTY = ["p_name", "p_brand", "p_size"]
@@ -143,21 +144,30 @@ def _lookup(df, least):
     return dom.cooccurrence(dom.pair_counts(df, DIRTY), dom.value_counts(df), least)
 
 
-def _dk_domain(spark, d):
-    df = part(spark, d)
-    return df, dom.dk_domain(df, dc_dk_cells(spark, d), _lookup(df, 0.0), Config())
+def _domain_of(df):
+    return dom.dk_domain(df, detect.ConstraintDetector([rule(RULE, df)]).noisy_cells(df), _lookup(df, 0.0), Config())
+
+
+def _fixed_domain(df):
+    """Written once, as every signal reads it."""
+    return cut(_domain_of(df), "domain")
 
 
 def dk_domain(spark, d):
-    return _dk_domain(spark, d)[1]
+    return _domain_of(part(spark, d))
 
 
 def domain_sizes(spark, d):
-    return dom.domain_sizes(_dk_domain(spark, d)[1])
+    return dom.domain_sizes(_domain_of(part(spark, d)))
 
 
 def numbered_domain(spark, d):
-    return dom.numbered(_dk_domain(spark, d)[1], ATTRS)
+    return dom.numbered(_fixed_domain(part(spark, d)), ATTRS)
+
+
+def dirty_attributes(spark, d):
+    df = part(spark, d)
+    return spark.createDataFrame([(a,) for a in dom.dirty_attributes(df, dc_dk_cells(spark, d))], "attr string")
 
 
 def _clean_domain(spark, d, config):
@@ -175,13 +185,32 @@ def clean_domain_sampled(spark, d):
 
 
 def feature_observed(spark, d):
-    df, domain = _dk_domain(spark, d)
-    return features.Observed().features(df, domain)
+    df = part(spark, d)
+    return features.Observed().features(df, _domain_of(df))
 
 
 def feature_constraint(spark, d):
-    df, domain = _dk_domain(spark, d)
-    return features.Violations([rule(RULE, df)]).features(df, domain)
+    df = part(spark, d)
+    return features.Violations([rule(RULE, df)]).features(df, _fixed_domain(df))
+
+
+def feature_literal(spark, d):
+    """A constraint with literals, and one that compares different attributes."""
+    df = part(spark, d)
+    rules = [rule("t1&t2&EQ(t1.p_brand,'Brand#11')&EQ(t2.p_brand,'Brand#22')&EQ(t1.p_name,t2.p_name)", df), rule("t1&t2&EQ(t1.p_name,t2.p_name)&EQ(t1.p_type,t2.p_brand)", df)]
+    return features.Violations(rules).features(df, _swapped(df))
+
+
+def feature_single(spark, d):
+    df = part(spark, d)
+    return features.Violations([rule("t1&EQ(t1.p_brand,'Brand#11')&GT(t1.p_type,'M')", df)]).features(df, _swapped(df))
+
+
+def _swapped(df):
+    """A given domain: every third row's own values, and Brand#11 and its type as brand, its brand as type."""
+    cells = [("p_name", "p_name", 1), ("p_brand", "p_brand", 1), ("p_type", "p_type", 1), ("p_brand", "p_type", 0), ("p_type", "p_brand", 0)]
+    made = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(v).alias("val"), F.lit(o).alias("observed")) for a, v, o in cells], F.struct(F.lit("p_brand").alias("attr"), F.lit("Brand#11 ").alias("val"), F.lit(0).alias("observed"))))
+    return df.where("__ind % 3 = 0").select(F.col("__ind").alias("ind"), made.alias("c")).select("ind", "c.attr", "c.val", "c.observed")
 
 
 def _cooccur(df):
@@ -189,17 +218,20 @@ def _cooccur(df):
 
 
 def feature_cooccur(spark, d):
-    df, domain = _dk_domain(spark, d)
-    return _cooccur(df).features(df, domain).withColumn("value", F.round("value", 9))
+    df = part(spark, d)
+    return _cooccur(df).features(df, _fixed_domain(df)).withColumn("value", F.round("value", 9))
 
 
 def _signals(df):
     return [features.Observed(), features.Violations([rule(RULE, df)]), _cooccur(df)]
 
 
+def _normalized(df):
+    return features.normalized(features.featurize(df, _fixed_domain(df), _signals(df))).withColumn("value", F.round("value", 7))
+
+
 def feature_normalized(spark, d):
-    df, domain = _dk_domain(spark, d)
-    return features.normalized(features.featurize(df, domain, _signals(df))).withColumn("value", F.round("value", 7))
+    return _normalized(part(spark, d))
 
 
 def feature_map(spark, d):
@@ -207,32 +239,128 @@ def feature_map(spark, d):
 
 
 def dimensions(spark, d):
-    training, suspect = clean_domain_all(spark, d), _dk_domain(spark, d)[1]
-    return features.dimensions(training, suspect, len(WEIGHTS))
+    return features.dimensions(clean_domain_all(spark, d), _domain_of(part(spark, d)), len(WEIGHTS))
 
 
-def _inferred(spark, d):
-    df, domain = _dk_domain(spark, d)
+def _inferred(df):
+    spark, domain = df.sparkSession, _fixed_domain(df)
     weights = model.weights_frame(spark, list(WEIGHTS), WEIGHTS.values())
     chances = model.probabilities(domain, features.normalized(features.featurize(df, domain, _signals(df))), weights)
-    return df, chances.withColumn("probability", F.round("probability", 7))
+    return chances.withColumn("probability", F.round("probability", 7))
 
 
 def infer_softmax(spark, d):
-    return _inferred(spark, d)[1]
+    return _inferred(part(spark, d))
 
 
 def infer_topk(spark, d):
-    return model.top(_inferred(spark, d)[1], 2)
+    return model.top(_inferred(part(spark, d)), 2)
 
 
 def infer_map(spark, d):
-    return model.top(_inferred(spark, d)[1], 1).select("ind", "attr", "val")
+    return model.top(_inferred(part(spark, d)), 1).select("ind", "attr", "val")
+
+
+def _repaired(df):
+    return repair.repaired(df, model.top(_inferred(df), 1)).withColumnRenamed("__ind", "ind")
 
 
 def repaired_fixed(spark, d):
-    df, chances = _inferred(spark, d)
-    return repair.repaired(df, model.top(chances, 1)).withColumnRenamed("__ind", "ind")
+    return _repaired(part(spark, d))
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part with its brand as name and the brand's maker as brand, every twentieth of them spoilt: names and sizes determine few makers, so
+    suspect cells have a choice of candidates at every scale."""
+    maker = F.when(F.col("p_partkey") % 20 == 0, F.lit("Brand#9")).otherwise(F.substring("p_brand", 1, 7))
+    df = table(spark, sf_dir, "part")
+    return df.select(F.col("p_partkey").alias("__ind"), F.col("p_brand").alias("p_name"), maker.alias("p_brand"), "p_type", (F.col("p_size") % 2).alias("p_size"))
+
+
+def noisy_domain(spark, d):
+    return _domain_of(noisy(spark, d))
+
+
+def noisy_features(spark, d):
+    return _normalized(noisy(spark, d))
+
+
+def noisy_repaired(spark, d):
+    return _repaired(noisy(spark, d))
+
+
+def train_step(spark, d):
+    """One step of training on all of the domain as one batch, from given weights."""
+    df = noisy(spark, d)
+    domain = _fixed_domain(df)
+    signals = features.normalized(features.featurize(df, domain, _signals(df)))
+    config = Config(learning_iterations=1, batch_size=10**9, learning_rate=0.5, weight_decay=0.1, training_cells=10**7)
+    w = model.train(domain, signals, list(WEIGHTS), config, list(WEIGHTS.values()))
+    return model.weights_frame(spark, list(WEIGHTS), w).withColumn("weight", F.round("weight", 7))
+
+
+def _session(spark, df, config=Config()):
+    session = repair.Session(spark, config)
+    session.use(df)
+    return session
+
+
+def session_repair(spark, d):
+    """A whole session with given weights, its constraints from a file, one of them removed again."""
+    session = _session(spark, noisy(spark, d))
+    path = new_folder(spark, "constraints")
+    spark.createDataFrame([(RULE,), ("",), ("t1&EQ(t1.p_brand,'Brand#1')",)], "value string").coalesce(1).write.text(path)
+    session.load_denial_constraints(path)
+    session.remove_denial_constraint([c.text for c in session.constraints].index("t1&EQ(t1.p_brand,'Brand#1')"))
+    session.detect_errors([detect.ConstraintDetector(session.constraints), detect.NullDetector()])
+    return session.repair(WEIGHTS).withColumnRenamed("__ind", "ind")
+
+
+def session_cells(spark, d):
+    """Suspect and clean cells from files in place of detection."""
+    df = part(spark, d)
+    path = new_folder(spark, "cells") + ".csv"
+    tables.write_csv(df.where("p_size > 40").select(F.col("__ind").alias("ind"), F.lit("p_brand").alias("attr")), path)
+    dirty, clean = _session(spark, df), _session(spark, df)
+    dirty.load_dirty_data(path)
+    clean.load_clean_data(path)
+    return dirty.dk.select("ind", "attr", F.lit("dirty").alias("given")).union(clean.clean.select("ind", "attr", F.lit("clean").alias("given")))
+
+
+def loaded_csv(spark, d):
+    """What a session loads from a CSV file: strings with row numbers, as cells."""
+    path = new_folder(spark, "part") + ".csv"
+    tables.write_csv(table(spark, d, "part").orderBy("p_partkey").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).alias("p_brand"), "p_size").coalesce(1), path)
+    session = repair.Session(spark)
+    return tables.flatten(session.load_data(path))
+
+
+def map_schema(spark, d):
+    return _session(spark, part(spark, d)).catalog.get("Map_schema")
+
+
+def saved_table(spark, d):
+    """A table saved in the warehouse and added to, read back and dropped with its session."""
+    catalog = tables.Catalog(spark)
+    df = part(spark, d).select("__ind", "p_brand")
+    catalog.add("Saved", df.where("__ind % 2 = 0"), persist=True)
+    catalog.add("Saved", df.where("__ind % 2 = 1"), append=True, persist=True)
+    out = cut(catalog.get("Saved").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("__ind").alias("s")), "saved")
+    catalog.reset()
+    return out.withColumn("left", F.lit(len(catalog.tables)))
+
+
+def refused_constraints(spark, d):
+    """Which texts the parser refuses."""
+    texts = ["t1&t2", "t1&XX(t1.p_name,'a')", "t1&EQ(t1.p_name)", "t1&EQ(t1.p_name,'a','b')", "t1&fooEQ(t1.p_name,'a')", "t1&EQ(t1.p_name,'a'x)", "t1&EQ(t1.p_name,t2.p_name)", "t1&EQ(t1.none,'a')", "t1&EQ('a',t1.p_name)", "EQ(t1.p_name,'a')", "t1&EQ(t1.p_name,'a'", "t1&EQ(t1.p_name,'a')", RULE]
+    schema, rows = part(spark, d).columns, []
+    for t in texts:
+        try:
+            parse(t, schema)
+            rows.append((t, False))
+        except ConstraintError:
+            rows.append((t, True))
+    return spark.createDataFrame(rows, "text string, refused boolean")
 
 
 def train_repair(spark, d):
@@ -244,20 +372,35 @@ def train_repair(spark, d):
     return session.repair().withColumnRenamed("__ind", "ind")
 
 
-def precision_recall(spark, d):
-    """Truth: the table itself; every fifth brand of it spoilt."""
+def _judged(spark, d):
+    """Every fifth brand spoilt; suspect cells and the three likeliest values of each; the truth is the table itself."""
     df = part(spark, d)
     truth = tables.flatten(df, attrs=["p_brand"]).toDF("tid", "attr_name", "attr_val")
     spoilt = df.withColumn("p_brand", F.when(F.col("__ind") % 5 == 0, F.lit("Brand#??")).otherwise(F.col("p_brand")))
     dk = spoilt.where("__ind % 5 = 0 or __ind % 7 = 0").select(F.col("__ind").alias("ind"), F.lit("p_brand").alias("attr"))
     lookup = dom.cooccurrence(dom.pair_counts(spoilt, ["p_brand"]), dom.value_counts(spoilt), 0.0)
-    own = tables.flatten(spoilt).join(dk, ["ind", "attr"], "left_semi").withColumn("observed", F.lit(1))
-    found = dom.candidates(spoilt, dk, lookup).where("val <> 'Brand#??'").withColumn("probability", F.col("p"))
-    ranked = model.top(found.withColumn("probability", F.round("probability", 9)), 3)
-    out = evaluate.compare(spoilt, dk.join(own, ["ind", "attr"], "left_semi"), ranked, truth)
+    found = dom.candidates(spoilt, dk, lookup).where("val <> 'Brand#??'")
+    return spoilt, dk, model.top(found.withColumn("probability", F.round("p", 9)), 3), truth
+
+
+def _metrics(out):
     return out.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+def precision_recall(spark, d):
+    return _metrics(evaluate.compare(*_judged(spark, d)))
+
+
+def compare_to_truth(spark, d):
+    """The same through a session and a file of true values."""
+    spoilt, dk, ranked, truth = _judged(spark, d)
+    path = new_folder(spark, "truth") + ".csv"
+    tables.write_csv(truth, path)
+    session = _session(spark, spoilt)
+    session.dk, session.inferred = dk, ranked
+    return _metrics(session.compare_to_truth(path))
+
+
 def wrangle_lower_trim(spark, d):
     df = table(spark, d, "conversations").select("conv_id", "turn", "text")
     return wrangle.Transformer((text.lowercase, text.trim), ("text",)).transform(df)
@@ -268,6 +411,24 @@ def wrangle_clusters(spark, d):
     return wrangle.Normalizer((wrangle.ColumnNorm("p_name", threshold=2),)).normalize(df)
 
 
+def _messy(spark, d):
+    df = table(spark, d, "nation")
+    odd = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("  "), F.lower("n_name"), F.lit("'"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.substring("n_name", 1, 3), F.lit("é"), F.expr("substring(n_name, 5)"))).otherwise(F.col("n_name"))
+    return df.select("n_nationkey", odd.alias("n_name"))
+
+
+def wrangle_default(spark, d):
+    return wrangle.default_wrangler(["n_name"]).wrangle(_messy(spark, d))
+
+
+def wrangle_file(spark, d):
+    """What the command line does: CSV in, CSV out."""
+    source, target = (new_folder(spark, x) + ".csv" for x in ("messy", "wrangled"))
+    tables.write_csv(_messy(spark, d).select("n_name"), source)
+    wrangle.wrangle_file(spark, source, target)
+    return tables.read(spark, target).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
 def wrangle_jaccard(spark, d):
     df = table(spark, d, "part").select("p_partkey", "p_type")
     return wrangle.Normalizer((wrangle.ColumnNorm("p_type", wrangle.jaccard, 0.2),)).normalize(df)
@@ -279,7 +440,7 @@ def catalog_query(spark, d):
     return catalog.query("SELECT p_brand, max(p_size) AS largest, count(*) AS n FROM {Init} GROUP BY p_brand")
 
 
-_PUBLIC = [dc_dk_cells, dc_clean_cells, dc_dependency, dc_theta, dc_equi, dc_single, dc_literal, dc_three_tuple, null_cells, regex_cells, detector_union, detector_intersect, labelled_cells, index_rows, long_columns, flat_cells, value_counts, pair_counts, cooccur_lookup, dk_domain, domain_sizes, numbered_domain, clean_domain_all, clean_domain_sampled, feature_observed, feature_constraint, feature_cooccur, feature_normalized, feature_map, dimensions, infer_softmax, infer_topk, infer_map, repaired_fixed, train_repair, precision_recall, wrangle_lower_trim, wrangle_clusters, wrangle_jaccard, catalog_query]
+_PUBLIC = [dirty_attributes, feature_literal, feature_single, noisy_domain, noisy_features, noisy_repaired, train_step, session_repair, session_cells, loaded_csv, map_schema, saved_table, refused_constraints, compare_to_truth, wrangle_default, wrangle_file, dc_dk_cells, dc_clean_cells, dc_dependency, dc_theta, dc_equi, dc_single, dc_literal, dc_three_tuple, null_cells, regex_cells, detector_union, detector_intersect, labelled_cells, index_rows, long_columns, flat_cells, value_counts, pair_counts, cooccur_lookup, dk_domain, domain_sizes, numbered_domain, clean_domain_all, clean_domain_sampled, feature_observed, feature_constraint, feature_cooccur, feature_normalized, feature_map, dimensions, infer_softmax, infer_topk, infer_map, repaired_fixed, train_repair, precision_recall, wrangle_lower_trim, wrangle_clusters, wrangle_jaccard, catalog_query]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -338,6 +499,35 @@ _FOLD = r"lower(regexp_replace(nfc_normalize(strip_accents(coalesce(text, ''))),
 _TRIM = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FOLD}, '^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$', '', 'g'), '\n+', '', 'g'), '[\x09-\x0D\x1C-\x20]+', ' ', 'g'), '[\"'']', '', 'g')"
 
 
+#: The table that noisy() makes, under the name of the other.
+_NOISY = "p AS (SELECT p_partkey AS ind, p_brand AS p_name, CASE WHEN p_partkey % 20 = 0 THEN 'Brand#9' ELSE substr(p_brand, 1, 7) END AS p_brand, p_type, CAST(p_size % 2 AS INTEGER) AS p_size FROM part)"
+_SWAPPED = "dom AS (SELECT ind, 'p_name' AS attr, p_name AS val FROM p WHERE ind % 3 = 0 UNION ALL SELECT ind, 'p_brand', p_brand FROM p WHERE ind % 3 = 0 UNION ALL SELECT ind, 'p_type', p_type FROM p WHERE ind % 3 = 0 UNION ALL SELECT ind, 'p_brand', p_type FROM p WHERE ind % 3 = 0 UNION ALL SELECT ind, 'p_type', p_brand FROM p WHERE ind % 3 = 0 UNION ALL SELECT ind, 'p_brand', 'Brand#11 ' FROM p WHERE ind % 3 = 0)"
+
+
+def _swap_count(number: int, attr: str, own: str, other: str, condition: str) -> str:
+    """Feature DCn of the candidates for attr of tuple `own`; d.val stands for the candidate."""
+    return f"SELECT d.ind, d.attr, d.val, 'DC{number}' AS feature, CAST(count(*) AS DOUBLE) AS value FROM dom d JOIN p {own} ON d.ind = {own}.ind AND d.attr = '{attr}' JOIN p {other} ON {condition} GROUP BY ALL"
+
+
+_LITERAL = " UNION ALL ".join([
+    _swap_count(1, "p_brand", "a", "b", "d.val = 'Brand#11' AND b.p_brand = 'Brand#22' AND a.p_name = b.p_name AND a.ind < b.ind"),
+    _swap_count(2, "p_brand", "b", "a", "a.p_brand = 'Brand#11' AND d.val = 'Brand#22' AND a.p_name = b.p_name AND a.ind < b.ind"),
+    _swap_count(3, "p_name", "a", "b", "a.p_brand = 'Brand#11' AND b.p_brand = 'Brand#22' AND d.val = b.p_name AND a.ind < b.ind"),
+    _swap_count(4, "p_name", "b", "a", "a.p_brand = 'Brand#11' AND b.p_brand = 'Brand#22' AND a.p_name = d.val AND a.ind < b.ind"),
+    _swap_count(5, "p_name", "a", "b", "d.val = b.p_name AND a.p_type = b.p_brand AND a.ind < b.ind"),
+    _swap_count(6, "p_name", "b", "a", "a.p_name = d.val AND a.p_type = b.p_brand AND a.ind < b.ind"),
+    _swap_count(7, "p_type", "a", "b", "a.p_name = b.p_name AND d.val = b.p_brand AND a.ind <> b.ind"),
+    _swap_count(8, "p_brand", "b", "a", "a.p_name = b.p_name AND a.p_type = d.val AND a.ind <> b.ind"),
+])
+_SINGLE = " UNION ALL ".join(f"SELECT d.ind, d.attr, d.val, 'DC{n}' AS feature, CAST(count(*) AS DOUBLE) AS value FROM dom d JOIN p a ON d.ind = a.ind AND d.attr = '{attr}' WHERE {test} GROUP BY ALL" for n, attr, test in ((1, "p_brand", "d.val = 'Brand#11' AND a.p_type > 'M'"), (2, "p_type", "a.p_brand = 'Brand#11' AND d.val > 'M'")))
+_MESSY = "m AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) WHEN n_nationkey % 3 = 1 THEN lower(substr(n_name, 1, 3)) || 'e' || lower(substr(n_name, 5)) ELSE lower(n_name) END AS v FROM nation)"
+_CLUSTERED = "c AS (SELECT v, count(*) AS n FROM m GROUP BY 1), e AS (SELECT a.v AS a, b.v AS b FROM c a JOIN c b ON {0}), r(v, u) AS (SELECT a, b FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a), x AS (SELECT r.v, first(c.v ORDER BY c.n DESC, c.v) AS best FROM r JOIN c ON c.v = r.u GROUP BY r.v)"
+_NEAR = "levenshtein(a.v, b.v) <= 3"
+_CHARS = "list_distinct(string_split({0}.v, ''))"
+_LIKE = f"len(list_intersect({_CHARS.format('a')}, {_CHARS.format('b')})) * 1.0 / len(list_distinct(list_concat({_CHARS.format('a')}, {_CHARS.format('b')}))) >= 0.8"
+_STEP = "ys AS (SELECT i.*, i.e / sum(i.e) OVER (PARTITION BY i.ind, i.attr) - i.observed AS off FROM ex i), ce AS (SELECT count(*) AS n FROM (SELECT DISTINCT ind, attr FROM dom)), gr AS (SELECT feature, sum(value * off) / any_value(ce.n) AS g FROM norm JOIN ys USING (ind, attr, val), ce GROUP BY feature)"
+
+
 def _explode(ids: str, attrs: list[str]) -> str:
     return f"SELECT ind, attr FROM ({ids}), (VALUES {', '.join(f'({chr(39)}{a}{chr(39)})' for a in attrs)}) t(attr)"
 
@@ -352,7 +542,31 @@ def oracle_sql() -> dict[str, str]:
     near = " UNION ALL ".join(f"SELECT '{a}' AS attr, {a} AS val, p_brand AS val2, count(*) AS n FROM sp GROUP BY ALL" for a in ("p_name", "p_type", "p_size"))
     alone = " UNION ALL ".join(f"SELECT '{a}' AS attr, {a} AS val, count(*) AS n FROM sp GROUP BY ALL" for a in ("p_name", "p_type", "p_size"))
     rows = " UNION ALL ".join(f"SELECT ind, '{a}' AS attr, {a} AS val FROM sp WHERE ind % 5 = 0 OR ind % 7 = 0" for a in ("p_name", "p_type", "p_size"))
+    judged = f"WITH {spoilt}, pr AS ({near}), al AS ({alone}), rw AS ({rows}), fd AS (SELECT rw.ind, pr.val2 AS val, round(max(pr.n / al.n), 9) AS p FROM rw JOIN pr ON rw.attr = pr.attr AND rw.val = pr.val JOIN al ON al.attr = rw.attr AND al.val = rw.val WHERE pr.val2 <> 'Brand#??' GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY ind ORDER BY p DESC, val) AS r FROM fd QUALIFY r <= 3), jd AS (SELECT rk.ind, max(CAST(val = truth AS INT)) AS hit, max(CASE WHEN r = 1 THEN CAST(val = truth AS INT) END) AS map_hit, any_value(sp.p_brand <> sp.truth) AS err FROM rk JOIN sp ON sp.ind = rk.ind GROUP BY rk.ind), e AS (SELECT count(*) AS n FROM sp WHERE p_brand <> truth) SELECT count(*) AS inferred, CAST(sum(hit) AS BIGINT) AS correct, (SELECT n FROM e) AS detected_errors, (SELECT n FROM e) AS total_errors, round(sum(hit) / count(*), 7) AS precision, round(1 - sum(CASE WHEN err AND hit = 0 THEN 1 ELSE 0 END) / (SELECT n FROM e), 7) AS recall, round(sum(map_hit) / count(*), 7) AS map_precision, round(1 - sum(CASE WHEN err AND map_hit = 0 THEN 1 ELSE 0 END) / (SELECT n FROM e), 7) AS map_recall FROM jd"
+    sampled = f"{_BASE}, {_TRAIN}, cf AS ({_cand('tr')}), ot AS (SELECT f.*, row_number() OVER (PARTITION BY f.ind, f.attr ORDER BY f.p DESC, f.val) AS r FROM cf f JOIN flat o ON o.ind = f.ind AND o.attr = f.attr WHERE f.val <> o.val), dr AS (SELECT *, row_number() OVER (PARTITION BY ind, attr ORDER BY CASE WHEN r > 1 THEN md5('42|' || ind || '|' || attr || '|' || val) END NULLS FIRST, r) AS s FROM ot), cd AS (SELECT ind, attr, val, 0 AS observed FROM dr WHERE s <= 4 UNION ALL SELECT ind, attr, val, 1 FROM flat JOIN tr USING (ind, attr)) SELECT * FROM cd QUALIFY count(*) OVER (PARTITION BY ind, attr) > 1"
+    repaired_all = f"{_ALL} SELECT p.ind, " + ", ".join(f"coalesce((SELECT {'CAST(val AS INTEGER)' if a == 'p_size' else 'val'} FROM top t WHERE t.ind = p.ind AND t.attr = '{a}' AND rank = 1), p.{a}) AS {a}" for a in ATTRS) + " FROM p"
+    normal = f"{_DOM}, {_FEATURES} SELECT ind, attr, val, feature, round(value, 7) AS value FROM norm"
+    refused = ["t1&t2", "t1&XX(t1.p_name,'a')", "t1&EQ(t1.p_name)", "t1&EQ(t1.p_name,'a','b')", "t1&fooEQ(t1.p_name,'a')", "t1&EQ(t1.p_name,'a'x)", "t1&EQ(t1.p_name,t2.p_name)", "t1&EQ(t1.none,'a')", "t1&EQ('a',t1.p_name)", "EQ(t1.p_name,'a')", "t1&EQ(t1.p_name,'a'"]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     return {
+        "dirty_attributes": f"WITH {_P}, {_DK_IDS}, {_DK} SELECT DISTINCT attr FROM dk",
+        "feature_literal": f"WITH {_P}, {_SWAPPED} SELECT ind, attr, val, feature, value FROM ({_LITERAL})",
+        "feature_single": f"WITH {_P}, {_SWAPPED} SELECT ind, attr, val, feature, value FROM ({_SINGLE})",
+        "noisy_domain": f"{_DOM} SELECT ind, attr, val, observed FROM dom".replace(_P, _NOISY),
+        "noisy_features": normal.replace(_P, _NOISY),
+        "noisy_repaired": repaired_all.replace(_P, _NOISY),
+        "session_repair": repaired_all.replace(_P, _NOISY),
+        "train_step": f"{_ALL}, {_STEP} SELECT w.feature, round(w.weight - 0.5 * (coalesce(gr.g, 0) + 0.1 * w.weight), 7) AS weight FROM w LEFT JOIN gr USING (feature)".replace(_P, _NOISY),
+        "session_cells": "SELECT p_partkey AS ind, 'p_brand' AS attr, given FROM part, (VALUES ('dirty'), ('clean')) t(given) WHERE p_size > 40",
+        "loaded_csv": "WITH o AS (SELECT row_number() OVER (ORDER BY p_partkey) AS ind, * FROM part) SELECT ind, 'p_partkey' AS attr, CAST(p_partkey AS VARCHAR) AS val FROM o UNION ALL SELECT ind, 'p_name', p_name FROM o UNION ALL SELECT ind, 'p_brand', CASE WHEN p_partkey % 7 <> 0 THEN p_brand END FROM o UNION ALL SELECT ind, 'p_size', CAST(p_size AS VARCHAR) FROM o",
+        "map_schema": "SELECT * FROM (VALUES (1, 'p_name'), (2, 'p_brand'), (3, 'p_type'), (4, 'p_size')) t(attr_id, attribute)",
+        "saved_table": "SELECT p_brand, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS s, CAST(0 AS INTEGER) AS left FROM part GROUP BY p_brand",
+        "refused_constraints": "SELECT * FROM (VALUES " + ", ".join(f"({quoted(x)}, true)" for x in refused) + f", ('t1&EQ(t1.p_name,''a'')', false), ({quoted(RULE)}, false)) t(text, refused)",
+        "compare_to_truth": judged,
+        "wrangle_default": f"WITH RECURSIVE {_MESSY}, {_CLUSTERED.format(_NEAR)} SELECT n_nationkey, x.best AS n_name FROM m JOIN x USING (v)",
+        "wrangle_file": f"WITH RECURSIVE {_MESSY}, {_CLUSTERED.format(_NEAR)} SELECT x.best AS n_name, count(*) AS n FROM m JOIN x USING (v) GROUP BY 1",
+        "wrangle_jaccard": f"WITH RECURSIVE m AS (SELECT p_partkey, p_type AS v FROM part), {_CLUSTERED.format(_LIKE)} SELECT p_partkey, x.best AS p_type FROM m JOIN x USING (v)",
+        "clean_domain_sampled": sampled,
         "dc_dk_cells": f"WITH {_P}, {_DK_IDS}, {_DK} SELECT ind, attr FROM dk",
         "dc_clean_cells": f"WITH {_P}, {_FLAT}, {_DK_IDS}, {_DK} SELECT ind, attr FROM flat EXCEPT SELECT ind, attr FROM dk",
         "dc_dependency": f"SELECT DISTINCT ind, attr FROM ({_explode(line, ['l_orderkey', 'l_linenumber', 'l_returnflag'])})",
@@ -379,14 +593,14 @@ def oracle_sql() -> dict[str, str]:
         "feature_observed": f"{_DOM} {_F_INIT}",
         "feature_constraint": f"{_DOM} {_relaxed()}",
         "feature_cooccur": f"{_DOM} SELECT ind, attr, val, feature, round(value, 9) AS value FROM ({_F_CO})",
-        "feature_normalized": f"{_DOM}, {_FEATURES} SELECT ind, attr, val, feature, round(value, 7) AS value FROM norm",
+        "feature_normalized": normal,
         "feature_map": "SELECT * FROM (VALUES (1, 'Init', 'Init', 'Init'), (2, 'DC1', 'p_name', 'DC'), (3, 'DC2', 'p_name', 'DC'), (4, 'DC3', 'p_size', 'DC'), (5, 'DC4', 'p_size', 'DC'), (6, 'DC5', 'p_brand', 'DC'), (7, 'DC6', 'p_brand', 'DC'), (8, 'Cooccur:p_name', 'p_name', 'Cooccur'), (9, 'Cooccur:p_brand', 'p_brand', 'Cooccur'), (10, 'Cooccur:p_size', 'p_size', 'Cooccur')) t(feature_ind, feature, attribute, type)",
         "dimensions": f"{_DOM}, {_TRAIN}, {_CLEAN} SELECT 'N' AS dimension, (SELECT count(*) FROM (SELECT DISTINCT ind, attr FROM clean)) AS length UNION ALL SELECT 'M', 10 UNION ALL SELECT 'L', (SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT ind, attr FROM clean UNION ALL SELECT ind, attr FROM dom) GROUP BY ind, attr))",
         "infer_softmax": f"{_ALL} SELECT * FROM inf",
         "infer_topk": f"{_ALL} SELECT ind, attr, val, observed, probability, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 2",
         "infer_map": f"{_ALL} SELECT ind, attr, val FROM top WHERE rank = 1",
-        "repaired_fixed": f"{_ALL} SELECT p.ind, " + ", ".join(f"coalesce((SELECT {'CAST(val AS INTEGER)' if a == 'p_size' else 'val'} FROM top t WHERE t.ind = p.ind AND t.attr = '{a}' AND rank = 1), p.{a}) AS {a}" for a in ATTRS) + " FROM p",
-        "precision_recall": f"WITH {spoilt}, pr AS ({near}), al AS ({alone}), rw AS ({rows}), fd AS (SELECT rw.ind, pr.val2 AS val, round(max(pr.n / al.n), 9) AS p FROM rw JOIN pr ON rw.attr = pr.attr AND rw.val = pr.val JOIN al ON al.attr = rw.attr AND al.val = rw.val WHERE pr.val2 <> 'Brand#??' GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY ind ORDER BY p DESC, val) AS r FROM fd QUALIFY r <= 3), jd AS (SELECT rk.ind, max(CAST(val = truth AS INT)) AS hit, max(CASE WHEN r = 1 THEN CAST(val = truth AS INT) END) AS map_hit, any_value(sp.p_brand <> sp.truth) AS err FROM rk JOIN sp ON sp.ind = rk.ind GROUP BY rk.ind), e AS (SELECT count(*) AS n FROM sp WHERE p_brand <> truth) SELECT count(*) AS inferred, CAST(sum(hit) AS BIGINT) AS correct, (SELECT n FROM e) AS detected_errors, (SELECT n FROM e) AS total_errors, round(sum(hit) / count(*), 7) AS precision, round(1 - sum(CASE WHEN err AND hit = 0 THEN 1 ELSE 0 END) / (SELECT n FROM e), 7) AS recall, round(sum(map_hit) / count(*), 7) AS map_precision, round(1 - sum(CASE WHEN err AND map_hit = 0 THEN 1 ELSE 0 END) / (SELECT n FROM e), 7) AS map_recall FROM jd",
+        "repaired_fixed": repaired_all,
+        "precision_recall": judged,
         "wrangle_lower_trim": f"SELECT conv_id, turn, {_TRIM} AS text FROM conversations",
         "wrangle_clusters": "WITH RECURSIVE c AS (SELECT p_name AS v, count(*) AS n FROM part GROUP BY 1), e AS (SELECT a.v AS a, b.v AS b FROM c a JOIN c b ON levenshtein(a.v, b.v) <= 2), r(v, u) AS (SELECT a, b FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a), x AS (SELECT r.v, first(c.v ORDER BY c.n DESC, c.v) AS best FROM r JOIN c ON c.v = r.u GROUP BY r.v) SELECT p_partkey, x.best AS p_name FROM part JOIN x ON x.v = part.p_name",
         "catalog_query": "SELECT p_brand, max(p_size) AS largest, count(*) AS n FROM part GROUP BY p_brand",
