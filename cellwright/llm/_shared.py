@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..sources.scratch import cut, forget, new_folder, plain_read, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir.
+WORD = r"[^\x20\x09-\x0D]+"
 
-    Where that is unset, a local session gets a temporary folder and any other session a folder in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if spark.sparkContext.master.startswith("local"):
-            named = "file://" + tempfile.mkdtemp(prefix="cellwright-")
-        else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cellwright"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
 
+def file_system(path: str):
+    """pyarrow's file system for a path that Spark knows, and the path there; for workers."""
+    from pyarrow import fs
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = path.replace("s3a://", "s3://")
+    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs no recomputation."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """df with the rows' numbers from 0 in an order: the place in a range partition plus the sizes of those before, one row per partition."""
+    inner = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    inner = cut(inner, "ranks").withColumn("__part", F.shiftright("__id", 33))
+    sizes = inner.groupBy("__part").agg(F.count("*").alias("__n"))
+    ahead = sizes.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return inner.join(F.broadcast(ahead), F.col("__part") == F.col("__p")).withColumn(name, F.col("__ahead") + place).drop("__id", "__part", "__p", "__ahead")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -55,7 +47,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, F.col("a") == F.col("k"))
-        now = cut(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        now = cut(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "edges", (now,))
         after = stamp(now)
         if after == before:
             break
@@ -65,6 +57,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").cast(kind).alias("node"), F.col("b").cast(kind).alias("root")).distinct()
 
 
+def lean(job):
+    """job, an iterator of Arrow batches to another, in a worker that gives freed memory back: Arrow's default pool and malloc keep it otherwise,
+    and a worker lives on through all stages."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) or (lambda _: 0)
+
+        def read():
+            for batch in batches:
+                yield batch
+                del batch
+                trim(0)
+
+        yield from job(read())
+        trim(0)
+
+    return run
+
+
 class WordHashes(dict):
     """64-bit hashes of words by look-up; the table is emptied when it is full, which costs time and changes nothing."""
 

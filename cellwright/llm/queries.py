@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import license_scan, mixing, neighbours, packing, pii, resharding, text_dedup, toxicity, vector_dedup, warc
-
+from ._shared import cut, new_folder
+from .places import at_rest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,9 @@ def fold(doc_id: Column) -> Column:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    # Longer documents get up to twice the expected copies of short ones.
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    return mixing.mix(table(spark, sf_dir, "documents"), doc_weight=1 + chars / (chars + 2000)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +72,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = resharding.reshard(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """The affected shards as they are read back from their files, the others from the plan."""
+    docs = at_rest(table(spark, sf_dir, "documents"))
+    plan = cut(resharding.planned(docs, resharding.SHARDS, None, None, "doc_id", "text"), "plan")
+    path = new_folder(spark, "shards")
+    affected = resharding.carried_out(docs, plan, path)
+    rows = plan.where(~F.col("shard").isin(affected)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    if affected:
+        shard, slot = resharding.free_names(docs)
+        schema = T.StructType([*docs.schema.fields, T.StructField(slot, T.LongType()), T.StructField(shard, T.LongType())])
+        data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+        back = spark.read.schema(schema).parquet(path)
+        rows = rows.union(back.select("doc_id", (F.length(data) + 8).cast("long"), F.crc32(data), F.col(shard).cast("int"), F.col(slot)))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), resharding.old_shard().alias("old_shard"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ shards, not of documents) and then carried out: within an old shard documents st
 bytes go where the flow says, what stays first. Documents aren't cut, so a run ends at the nearest document.
 
 An old shard may be any part of the data: its order is summed by slices of about SLICE documents, and only the
-documents of one slice are ever sorted together; slots of new shards are numbered the same way.
+documents of one slice are ever sorted together; slots of new shards are numbered the same way. `rewrite` takes shard and slot to
+where a row is read, by its place, and shuffles the texts once, to the shards' files.
 
 Defined cases. Null text: size 8, crc 0. Null old shard: counts as shard 0. Null doc_id and repeated rows: placed like any others, rows in
 any order among equals. Empty table: empty result. Other columns are ignored."""
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, new_folder
+from .places import at_rest, place, tagged
 
 SHARDS, OLD, SLICE = 24, 16, 2048
 
@@ -82,12 +84,17 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, ca
     """One row per row of docs: doc_id, size (UTF-8 bytes plus 8), text_crc32, old_shard, shard, slot (gapless from 0 in its shard).
 
     capacities: the shares of the new shards, by default all alike."""
-    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.coalesce(old if old is not None else old_shard(id_col=id_col), F.lit(0)).cast("int").alias("old_shard"))
+    return planned(at_rest(docs), shards, old, capacities, id_col, text_col).drop("file", "row")
+
+
+def planned(docs: DataFrame, shards: int, old: Column | None, capacities: list[float] | None, id_col: str, text_col: str) -> DataFrame:
+    """`reshard` of a table at rest, with the rows' places (file, row)."""
+    data = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *place(docs), (F.length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.coalesce(old if old is not None else old_shard(id_col=id_col), F.lit(0)).cast("int").alias("old_shard"))
     rows = cut(rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")), "rows")
     sums = {r[0]: (r[1], r[2]) for r in rows.groupBy("old_shard").agg(F.sum("size"), F.count("*")).collect()}  # one row per old shard
     if not sums:
-        return rows.select("doc_id", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select("doc_id", "file", "row", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     supply = [sums.get(i, (0, 0))[0] for i in range(max(sums) + 1)]
     share = capacities or [1.0] * shards
     total = sum(supply)
@@ -108,10 +115,10 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, ca
     # The runs of an old shard are a literal array of at most `shards` ends.
     mine = F.element_at(ends, F.col("old_shard"))
     shard = F.coalesce(F.element_at(F.filter(mine, lambda x: middle < x["e"]), 1)["j"], F.element_at(mine, -1)["j"])
-    rows = cut(rows.select("doc_id", "size", "text_crc32", "old_shard", "h", shard.alias("shard")), "assigned")
+    rows = cut(rows.select("doc_id", "file", "row", "size", "text_crc32", "old_shard", "h", shard.alias("shard")), "assigned")
     counts = {r[0]: r[1] for r in rows.groupBy("shard").count().collect()}  # one row per new shard
     rows = _placed(rows, "shard", "h", counts, F.lit(1), "slot")
-    return rows.select("doc_id", "size", "text_crc32", "old_shard", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    return rows.select("doc_id", "file", "row", "size", "text_crc32", "old_shard", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def _placed(rows: DataFrame, group: str, order: str, counts: dict[int, int], weight: Column, name: str) -> DataFrame:
@@ -126,21 +133,35 @@ def _placed(rows: DataFrame, group: str, order: str, counts: dict[int, int], wei
 
 
 def rewrite(docs: DataFrame, path: str | None = None, shards: int = SHARDS, old: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[int]]:
-    """Write the affected shards, those that lose or gain rows, whole under path/shard=N; return path and their numbers.
+    """Write the affected shards, those that lose or gain rows, whole and in the order of their slots; return the folder and their numbers.
 
-    Shards that keep exactly their old rows are left alone. Rows that share an id and a text are told apart by nothing else and dealt out in turn."""
+    A shard's files are under path/to_shard=N and hold all columns of docs and to_slot (with an underscore more where docs has such a
+    column). Shards that keep exactly their old rows are left alone."""
+    docs = at_rest(docs)
     path = path or new_folder(docs.sparkSession, "shards")
-    plan = cut(reshard(docs, shards, old, None, id_col, text_col), "plan")
+    plan = cut(planned(docs, shards, old, None, id_col, text_col), "plan")
+    return path, carried_out(docs, plan, path)
+
+
+def free_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns for shard and slot that docs hasn't got."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in ("to_shard", "to_slot"):
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out[0], out[1]
+
+
+def carried_out(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
+    """Write the affected shards of a plan for docs (at rest); return their numbers."""
     moved = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
-    affected = sorted(r[0] for r in moved.where(F.col("s") < shards).collect())  # at most one row per shard
-    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), (F.length(data) + 8).cast("long").alias("z"), F.crc32(data).alias("c"))
-    to = plan.groupBy("doc_id", "size", "text_crc32", "shard").agg(F.count("*").alias("times")).groupBy("doc_id", "size", "text_crc32").agg(F.sum("times").alias("n"), F.collect_list(F.struct("shard", "times")).alias("to"))
-    joined = keyed.join(to, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("z") == F.col("size")) & (F.col("c") == F.col("text_crc32")))
-    once = joined.where("n = 1").select("row", F.col("to")[0]["shard"].alias("shard"))
-    number = F.row_number().over(Window.partitionBy("i", "z", "c").orderBy(F.monotonically_increasing_id()))
-    upto = F.aggregate("to", F.struct(F.lit(0).cast("long").alias("p"), F.lit(None).cast("int").alias("s")), lambda acc, x: F.when(acc["s"].isNotNull(), acc).when(F.col("k") <= acc["p"] + x["times"], F.struct(acc["p"].alias("p"), x["shard"].alias("s"))).otherwise(F.struct((acc["p"] + x["times"]).alias("p"), acc["s"].alias("s"))))
-    repeated = joined.where("n > 1").withColumn("k", number).select("row", upto["s"].alias("shard"))
-    out = once.union(repeated).where(F.col("shard").isin(affected) if affected else F.lit(False))
-    out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "shard"], "shard").write.partitionBy("shard").parquet(path)
-    return path, affected
+    known = {r[0] for r in plan.select("shard").distinct().collect()}  # one row per shard
+    affected = sorted({r[0] for r in moved.collect()} & known)
+    if affected:
+        shard, slot = free_names(docs)
+        places = plan.where(F.col("shard").isin(affected)).select("file", "row", F.col("shard").cast("long").alias(shard), F.col("slot").alias(slot))
+        out = tagged(docs, places, (shard, slot))
+        # By ranges of shard and slot, so a large shard is written by several tasks.
+        out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    return affected

@@ -25,18 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, components, cut, mixed, words_of
+from ._shared import WordHashes, components, cut, lean, mixed, words_of
+from .places import at_rest, chosen, marked, place, without
 
 REGISTERS, ROWS = 192, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Words whose shingles are worked on at once; a longer document is worked on by itself.
-CHUNK = 400_000
+CHUNK = 200_000
 #: Members of a block in which classes of one bucket are compared.
 BLOCK = 256
-#: Participants up to which the join that fetches their texts may broadcast their ids.
-FEW = 500_000
 
-_hashes = WordHashes(300_000)
+_hashes = WordHashes(150_000)
 
 
 def shingle_sets(texts: list[str | bytes | None], k: int) -> list[np.ndarray]:
@@ -128,6 +127,11 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes
             begin, size = i + 1, 0
 
 
+def _named(text: bytes | None) -> bytes:
+    """What tells texts without words apart, in place of registers."""
+    return b"" if text is None else hashlib.blake2b(text, digest_size=16).digest()
+
+
 def _sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +140,8 @@ def _sketcher(k: int):
                 sketch = registers(sets)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() if q else None for r, q in zip(sketch, keys)], pa.binary())],
-                    ["doc_id", "n_shingles", "key", "registers"],
+                    [part.column("doc_id"), part.column("file"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() if q else _named(t) for r, q, t in zip(sketch, keys, texts)], pa.binary())],
+                    ["doc_id", "file", "row", "n_shingles", "key", "registers"],
                 )
 
     return run
@@ -160,13 +164,15 @@ def _bands(spark_col: Column) -> Column:
 
 
 def _estimator(least: float):
-    def run(frames):
-        for f in frames:
-            if len(f):
-                a = np.frombuffer(b"".join(f["registers_a"]), np.uint16).reshape(len(f), -1)
-                b = np.frombuffer(b"".join(f["registers_b"]), np.uint16).reshape(len(f), -1)
-                j = likeliest(a, b, f["n_a"].to_numpy(float), f["n_b"].to_numpy(float))
-                yield f.loc[j >= least, ["a", "b"]]
+    """Pairs (a, b) whose registers make a similarity of `least` likely, some thousands at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                part = batch.slice(lo, 2000)
+                a, b = (np.frombuffer(b"".join(part.column(f"registers_{x}").to_pylist()), np.uint16).reshape(len(part), -1) for x in "ab")
+                j = likeliest(a, b, *(part.column(f"n_{x}").to_numpy().astype(float) for x in "ab"))
+                yield part.select(["a", "b"]).filter(pa.array(j >= least))
 
     return run
 
@@ -176,10 +182,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Links join documents with 100 * |intersection| >= percent * |union| of their shingle sets. A pair at the threshold of
     0.8 shares one of the 32 bands with probability 0.99994; each proposed link is confirmed on the full sets."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = grouped(at_rest(docs), shingle, percent, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates, all columns: the one with the least id, null ids last, and
+    of rows that share that id the first by place. Texts without words are groups of their own; of those that share an id
+    one stays for each text. No text is shuffled."""
+    docs = at_rest(docs)
+    found = grouped(docs, shingle, percent, id_col, text_col)
+    return without(docs, cut(found.where("not first").select("file", "row"), "dropped"))
+
+
+def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs (at rest) by place: doc_id, file, row, n_shingles, component_id, first (is it its group's first row?)."""
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *place(docs))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.mapInArrow(_sketcher(shingle), f"doc_id {id_type}, n_shingles long, key binary, registers binary"), "sketches")
-    classes = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
+    rows = cut(docs.mapInArrow(lean(_sketcher(shingle)), f"doc_id {id_type}, file long, row long, n_shingles long, key binary, registers binary"), "sketches")
+    # Order of a group's rows: by id, null last, then by place.
+    head = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "file", "row")
+    classes = cut(rows.where("key is not null").groupBy("key").agg(F.min(head).alias("head"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
 
     member = classes.select("key", F.posexplode(_bands(F.col("registers"))).alias("band", "bucket"))
     hubs = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key"))["key"].alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -191,19 +214,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # Which classes share a bucket with one of another component? First by registers, then by full sets.
     member = cut(_unsettled(member.select("bucket", "band", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))), "unsettled")
     sketch = classes.select("key", "registers", "n")
-    likely = _dealt(member).join(sketch, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_job(percent, False), "bucket long, key binary")
-    member = cut(member.join(cut(likely.distinct(), "likely"), ["bucket", "key"], "left_semi"), "unsettled")
+    likely = _dealt(member).join(sketch, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lean(_block_job(percent, False)), "bucket long, key binary")
+    likely = cut(likely.distinct(), "likely")
+    member = cut(member.join(likely, ["bucket", "key"], "left_semi"), "unsettled", (likely, member))
     sets = _sets(docs, classes, member.select("key"), shingle)
-    more = _dealt(member).join(sketch, "key").join(sets, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_job(percent, True), "a binary, b binary")
+    more = _dealt(member).join(sketch, "key").join(sets, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lean(_block_job(percent, True)), "a binary, b binary")
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     # From classes back to documents.
-    named = classes.select("key", "doc_id").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = classes.select("key", "head").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "head", F.coalesce("root", "key").alias("root"))
+    least = named.groupBy("root").agg(F.min("head").alias("least"))
+    named = named.join(least, "root").select("key", "least")
+    out = rows.join(named, "key", "left")
+    alone = F.col("key").isNull()
+    blank = rows.where("key is null and doc_id is not null").groupBy(F.col("doc_id").alias("b_id"), F.col("registers").alias("b_text")).agg(F.min(F.struct("file", "row")).alias("b"), F.count("*").alias("times")).where("times > 1")
+    out = out.join(blank, alone & (F.col("doc_id") == F.col("b_id")) & (F.col("registers") == F.col("b_text")), "left")
+    least = F.when(alone, F.col("b")).otherwise(F.struct("least.file", "least.row"))
+    first = least.isNull() | ((F.col("file") == least["file"]) & (F.col("row") == least["row"]))
+    return out.select("doc_id", "file", "row", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))
 
 
 def _unsettled(member: DataFrame) -> DataFrame:
@@ -314,7 +342,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pe
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     # 192 registers estimate 0.8 with a deviation of 0.029; five of them below the threshold lose about one pair in 3 million.
     j = percent / 100
-    near = cut(near.mapInPandas(_estimator(j - 5 * (j * (1 - j) / REGISTERS) ** 0.5), "a binary, b binary"), "pairs")
+    near = cut(near.mapInArrow(lean(_estimator(j - 5 * (j * (1 - j) / REGISTERS) ** 0.5)), "a binary, b binary"), "pairs")
     sets = _sets(docs, classes, near.select(F.explode(F.array("a", "b")).alias("key")), k)
     # The hub of a star is a in some pairs and b in others; what repeats is matched last, so it isn't moved again.
     often = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("times"))
@@ -327,11 +355,6 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pe
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """(key, shingles) of the given classes, from the text of one document of each, which is read again."""
-    wanted = cut(keys.distinct().join(classes.select("key", "doc_id"), "key"), "wanted")
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    if ids.count() <= FEW:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(k), "key binary, shingles array<long>").join(wanted.select("key"), "key", "left_semi")
-    return cut(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    """(key, shingles) of the given classes, from the text of one document of each, which is read again at its place."""
+    wanted = keys.distinct().join(classes.select("key", "head.file", "head.row"), "key")
+    return cut(chosen(docs, marked(wanted.select("file", "row")), [F.col("text")], _setter(k), "key binary, shingles array<long>"), "sets")
