@@ -1,6 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust their scores.
 
-DataFrame functions only. Matches come from regexp_extract_all, their places from the lengths of the text between them.
+DataFrame functions only. Matches come from regexp_extract_all, their places from the lengths of the text between them, which `split`
+gives; context is at most REACH characters of that text on either side, so it ends at the neighbouring match of the kind.
 The patterns are written so that a text of any length is read in linear time: possessive repeats, and a look-behind that
 lets a match begin only where a run begins or the last match ended, which is where the plain pattern's leftmost matches begin.
 An iban's end is not the pattern's to say, as words in capitals may follow: every place where one may begin is looked at, and
@@ -39,7 +40,7 @@ CONTEXT = {
 # Characters of an iban by country, as the registry lists them.
 IBAN = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 BONUS, REACH = 0.3, 40
-BLOCK = 256
+BLOCK = 512
 
 
 def _holds(kind: str, m: Column) -> Column:
@@ -69,59 +70,85 @@ def _iban(m: Column) -> Column:
     return F.get(F.filter(ends, lambda x: _holds("iban", x)), F.lit(0))
 
 
-def _spans(kind: str, least: float) -> Column:
-    """Spans (start, rank, kind, end, score) of a kind from the columns text, m_<kind> and s_<kind>."""
-    rank, (_, score) = list(KINDS).index(kind), KINDS[kind]
-    kind_of = "array<struct<a:int,b:int,m:string>>"
+def _bound(c: Column, use) -> Column:
+    """use(c) with c worked out once, as a lambda's variable."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
-    def step(acc, x):
-        a = acc["p"] + F.length(x["s"])
-        b = a + F.length(x["m"])
-        return F.struct((a if kind == "iban" else b).alias("p"), F.concat(acc["o"], F.array(F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m")))).alias("o"))
 
-    # Sums in blocks: appending to one list of all matches would copy it for each match.
-    m, s = F.col(f"m_{kind}"), F.col(f"s_{kind}")
-    zipped = F.arrays_zip(m.alias("m"), F.slice(s, F.lit(1), F.size(m)).alias("s"))
-    start = F.struct(F.lit(-1 if kind == "iban" else 0).alias("p"), F.array().cast(f"array<{kind_of}>").alias("o"))
+def _walk(items: Column, state: Column, kind_of: str, step) -> Column:
+    """What step(state, item) = (state, output) puts out for the items in turn, as an array.
 
-    def block(acc, i):
-        part = F.aggregate(F.slice(zipped, i * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["p"].alias("p"), F.array().cast(kind_of).alias("o")), step)
-        return F.aggregate(F.array(part), F.struct(acc["p"].alias("p"), acc["o"].alias("o")), lambda a, x: F.struct(x["p"].alias("p"), F.concat(a["o"], F.array(x["o"])).alias("o")))
+    In blocks, as appending to one list of all outputs would copy it for each item."""
+    empty = F.array().cast(f"array<{kind_of}>")
 
-    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(m) - 1) / BLOCK), F.lit(0)).cast("int"))
-    placed = F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["o"]))
+    def one(acc, x):
+        after, out = step(acc["p"], x)
+        return F.struct(after.alias("p"), F.concat(acc["o"], F.array(out)).alias("o"))
 
-    def row(x):
-        left = F.greatest(x["a"] - REACH, F.lit(0))
-        near = F.lower(F.concat(F.substring(F.col("text"), left + 1, x["a"] - left), F.lit(" "), F.substring(F.col("text"), x["b"] + 1, F.lit(REACH))))
-        full = F.least(F.lit(1.0), score + F.when(near.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), BONUS).otherwise(0.0))
-        return F.struct(x["a"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["b"].alias("end"), full.alias("score"))
+    def block(items, acc, i):
+        part = F.aggregate(F.slice(items, i * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["p"].alias("p"), empty.alias("o")), one)
+        return _bound(part, lambda x: F.struct(x["p"].alias("p"), F.concat(acc["o"], F.array(x["o"])).alias("o")))
 
-    if kind == "iban":
-        whole = F.transform(placed, lambda x: F.struct(x["a"].alias("a"), _iban(x["m"]).alias("m")))
-        held = F.transform(F.filter(whole, lambda x: x["m"].isNotNull()), lambda x: F.struct(x["a"].alias("a"), (x["a"] + F.length(x["m"])).alias("b"), x["m"].alias("m")))
-    else:
-        held = F.filter(placed, lambda x: _holds(kind, x["m"]))
-    out = F.transform(held, row)
-    out = out if kind in BASE else F.filter(out, lambda x: x["score"] >= least)
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int"))
+    start = F.struct(state.alias("p"), F.array().cast(f"array<array<{kind_of}>>").alias("o"))
+    return F.flatten(_bound(items, lambda z: F.aggregate(blocks, start, lambda acc, i: block(z, acc, i), lambda acc: acc["o"])))
+
+
+def _items(m: Column, s: Column) -> Column:
+    """Matches (m) with the text before (s) and after (n), up to the neighbouring matches."""
+    return F.arrays_zip(m.alias("m"), F.slice(s, F.lit(1), F.size(m)).alias("s"), F.slice(s, F.lit(2), F.size(m)).alias("n"))
+
+
+def _score(kind: str, x: Column, m: Column) -> Column:
+    """Of match m with the surroundings of item x."""
+    after = F.length(m) if kind == "iban" else F.lit(0)  # an iban begins the text after its match of no width
+    near = F.lower(F.concat(F.substring(x["s"], F.lit(-REACH), F.lit(REACH)), F.lit(" "), F.substring(x["n"], after + 1, F.lit(REACH))))
+    return F.least(F.lit(1.0), KINDS[kind][1] + F.when(near.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), BONUS).otherwise(0.0))
+
+
+def _confirmed(kind: str, x: Column, least: float) -> Column:
+    """The match of item x that holds and scores enough, or null."""
+    m = _iban(x["m"]) if kind == "iban" else F.when(_holds(kind, x["m"]), x["m"])
+    return m if kind in BASE else _bound(m, lambda y: F.when(_score(kind, x, y) >= least, y))
+
+
+def _spans(kind: str, least: float) -> Column:
+    """Spans (start, rank, kind, end, score) of a kind from the columns m_<kind> and s_<kind>."""
+    rank, m = list(KINDS).index(kind), F.col(f"m_{kind}")
+
+    def step(p, x):
+        a = p + F.length(x["s"])
+        return a if kind == "iban" else a + F.length(x["m"]), F.struct(a.alias("a"), x["m"].alias("m"), x["s"].alias("s"), x["n"].alias("n"))
+
+    placed = _walk(_items(m, F.col(f"s_{kind}")), F.lit(-1 if kind == "iban" else 0), "struct<a:int,m:string,s:string,n:string>", step)
+    found = F.filter(F.transform(placed, lambda x: F.struct(x["a"].alias("a"), _confirmed(kind, x, least).alias("c"), x["s"].alias("s"), x["n"].alias("n"))), lambda x: x["c"].isNotNull())
+    out = F.transform(found, lambda x: F.struct(x["a"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["a"] + F.length(x["c"])).alias("end"), _score(kind, x, x["c"]).alias("score")))
     return F.when(F.size(m) > 0, out).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>"))
 
 
-def _hint(kind: str) -> Column:
+def _hint(kind: str, text: Column) -> Column:
     """What a text must hold to have a match at all; cheaper than the pattern."""
-    text = F.col("text")
     return {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "ssn": text.rlike("[0-9]{3}-[0-9]{2}-")}[kind]
 
 
+def _matches(kind: str, text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(KINDS[kind][0]), F.lit(int(kind == "iban")))
+    return F.when(_hint(kind, text), found).otherwise(F.array().cast("array<string>"))
+
+
+def _between(kind: str, text: Column, m: Column) -> Column:
+    parts = F.split(F.concat(F.lit(" "), text) if kind == "iban" else text, KINDS[kind][0], -1)
+    return F.when(F.size(m) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+
 def find(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
     """One row per row: doc_id, text (null: empty), spans array of (start, rank, kind, end, score) by start, then rank.
 
     Places count code points from 0, end exclusive. `keep`: a column of docs passed on as `kept`."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([keep.alias("kept")] if keep is not None else []))
     cols = ["doc_id", "text", *(["kept"] if keep is not None else [])]
-    none = F.array().cast("array<string>")
-    df = df.select(*cols, *[F.when(_hint(k), F.regexp_extract_all("text", F.lit(p), F.lit(int(k == "iban")))).otherwise(none).alias(f"m_{k}") for k, (p, _) in KINDS.items()])
-    df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(F.concat(F.lit(" "), "text") if k == "iban" else F.col("text"), p, -1)).otherwise(none).alias(f"s_{k}") for k, (p, _) in KINDS.items()])
+    df = df.select(*cols, *[_matches(k, F.col("text")).alias(f"m_{k}") for k in KINDS])
+    df = df.select("*", *[_between(k, F.col("text"), F.col(f"m_{k}")).alias(f"s_{k}") for k in KINDS])
     return df.select(*cols, F.array_sort(F.concat(*[_spans(k, least) for k in KINDS])).alias("spans"))
 
 
@@ -131,17 +158,31 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs with every span in the text column replaced by its kind in brackets; overlapping spans become one, named by the first.
+    """docs with personal data in the text column replaced by its kind in brackets, one kind after the other.
 
     A null text stays null. All columns are returned, in their order."""
-    found = find(docs, least, id_col=text_col, text_col=text_col, keep=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-
-    def step(acc, x):
-        gap = F.substring(F.col("text"), acc["p"] + 1, x["start"] - acc["p"])
-        said = F.concat(acc["o"], F.when(x["start"] >= acc["p"], F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(""))
-        return F.struct(F.greatest(acc["p"], x["end"]).alias("p"), said.alias("o"))
-
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("o"))
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["o"], F.substring(F.col("text"), acc["p"] + 1, F.length("text"))))
-    clean = F.when(F.size("spans") == 0, F.col("doc_id")).otherwise(done)
-    return found.select(*[clean.alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
+    for kind in KINDS:
+        df = df.select("row", "text", _matches(kind, F.col("text")).alias("m"))
+        df = df.select("row", "text", "m", _between(kind, F.col("text"), F.col("m")).alias("s"))
+        df = df.select("row", F.when(F.size("m") > 0, _replaced(kind, least)).otherwise(F.col("text")).alias("text"))
+    clean = F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("text"))
+    return df.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _replaced(kind: str, least: float) -> Column:
+    """The text of the columns m and s with the confirmed matches replaced."""
+    name, m, s = F.lit(f"[{kind.upper()}]"), F.col("m"), F.col("s")
+    if kind != "iban":
+        parts = F.flatten(F.transform(_items(m, s), lambda x: F.array(x["s"], F.when(_confirmed(kind, x, least).isNotNull(), name).otherwise(x["m"]))))
+        return F.concat(F.array_join(parts, ""), F.element_at(s, -1))
+
+    # An iban may run on over the places where further ones might begin: p counts its characters still to be left out.
+    def step(p, x):
+        said = F.when((p == 0) & x["c"].isNotNull(), name).otherwise("")
+        gone = F.when((p == 0) & x["c"].isNotNull(), F.length(x["c"])).otherwise(p)
+        return F.greatest(gone - F.length(x["n"]), F.lit(0)), F.concat(said, F.substring(x["n"], gone + 1, F.length(x["n"])))
+
+    items = F.transform(_items(m, s), lambda x: F.struct(_confirmed(kind, x, least).alias("c"), x["n"].alias("n")))
+    return F.concat(F.substring(F.get(s, F.lit(0)), F.lit(2), F.length(F.get(s, F.lit(0)))), F.array_join(_walk(items, F.lit(0), "string", step), ""))
