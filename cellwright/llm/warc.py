@@ -2,7 +2,8 @@
 
 An archive begins with a skippable frame that holds the dictionary; then comes one frame per record. The reader loads the
 dictionary from the leading frame, decodes frame by frame and checks each record: version line, required headers, the
-block's length, the blank lines at its end, the digests of block and payload, and the payload's length.
+block's length, the blank lines at its end, the digests of block and payload, and the payload's length. It also reads what others
+wrote: versions 1.0 and 1.1, records of any kind (their payload is the block unless that is an HTTP message) and of any id.
 
 Records are compressed where the pages are read, so only frames are shuffled. Which page answers for a payload is an aggregation
 by digest and a join that splits hot digests. Archives hold about ARCHIVE bytes each; a task writes under a name of its
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,11 +27,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, new_folder
+from ._shared import cut, file_system, lean, new_folder
 
 # Fixed values of the formats: frame magic numbers, version line, required headers.
 _DICTIONARY_FRAME, _ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
-_VERSION = b"WARC/1.1"
+_VERSION, _VERSIONS = b"WARC/1.1", (b"WARC/1.0", b"WARC/1.1")
 _REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -75,6 +77,11 @@ def frames(data: bytes) -> Iterator[bytes]:
         known, at = zstandard.ZstdCompressionDict(raw) if raw else None, 8 + size
     reader = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
     while at < len(data):
+        if len(data) >= at + 8 and struct.unpack_from("<I", data, at)[0] >> 4 == _DICTIONARY_FRAME >> 4:  # skippable
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                raise WarcError("a skippable frame is cut off")
+            continue
         end = frame_end(data, at)
         try:
             one = reader.decompressobj()
@@ -105,18 +112,32 @@ def frame_end(data: bytes, at: int) -> int:
     return end
 
 
+def _checked(said: str | None, data: bytes, what: str) -> None:
+    """A digest is compared if it is a sha1 in base32, the form all writers share; others are passed over."""
+    kind, _, value = (said or "").partition(":")
+    if kind.lower() == "sha1" and len(value) == 32 and value.upper() != base32_sha1(data):
+        raise WarcError(f"the {what}'s digest differs")
+
+
 def parsed(raw: bytes) -> dict:
-    """Headers (names in lower case), block and payload of one record, all lengths and digests checked."""
+    """Headers (names in lower case), block, payload and its full length of one record, all lengths and digests checked.
+
+    A revisit has no payload, and a length if its HTTP headers say one."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
-    if version != _VERSION or not mark:
-        raise WarcError("not a record of this version")
+    if version not in _VERSIONS or not mark:
+        raise WarcError("not a record of these versions")
     headers: dict[str, str] = {}
+    name = ""
     for line in lines:
-        name, colon, value = line.decode().partition(":")
-        if not colon or not name.strip():
+        if line[:1] in (b" ", b"\t") and name:  # goes on with the value before
+            headers[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
             raise WarcError(f"not a header: {line[:80]!r}")
-        headers[name.strip().lower()] = value.strip()
+        headers[name] = value.strip()
     if missing := [x for x in _REQUIRED if x not in headers]:
         raise WarcError(f"missing headers: {missing}")
     if not headers["content-length"].isdigit():
@@ -125,18 +146,24 @@ def parsed(raw: bytes) -> dict:
     block = rest[:size]
     if len(block) != size or rest[size:] != b"\r\n\r\n":
         raise WarcError("the block isn't as long as its header says")
-    if (said := headers.get("warc-block-digest")) and said != "sha1:" + base32_sha1(block):
-        raise WarcError("the block's digest differs")
-    http, mark, payload = block.partition(b"\r\n\r\n")
-    told = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-    if not mark or told is None:
-        raise WarcError("the block holds no HTTP message with a length")
-    if headers["warc-type"] == "revisit":
-        if payload or not headers.get("warc-refers-to"):
-            raise WarcError("a revisit holds no payload and names its response")
-    elif len(payload) != told or headers.get("warc-payload-digest") != "sha1:" + base32_sha1(payload):
-        raise WarcError("the payload differs from its length or digest")
-    return {"headers": headers, "payload": payload, "payload_bytes": told}
+    _checked(headers.get("warc-block-digest"), block, "block")
+    revisit, kind = headers["warc-type"] == "revisit", headers.get("content-type", "").replace(" ", "").lower()
+    payload, told = block, None
+    if kind.startswith("application/http"):
+        http, mark, payload = block.partition(b"\r\n\r\n")
+        lengths = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        told = int(lengths[0]) if lengths and lengths[0].isdigit() else None
+        if not mark and not revisit:
+            raise WarcError("the block holds no HTTP message")
+    if revisit:
+        if payload and kind.startswith("application/http"):
+            raise WarcError("a revisit holds no payload")
+        return {"headers": headers, "payload": b"", "payload_bytes": told}
+    if told is not None and told != len(payload) and "warc-truncated" not in headers:
+        raise WarcError("the payload differs from its length")
+    if "warc-truncated" not in headers:
+        _checked(headers.get("warc-payload-digest"), payload, "payload")
+    return {"headers": headers, "payload": payload, "payload_bytes": len(payload)}
 
 
 def trained(pages: DataFrame) -> bytes:
@@ -171,15 +198,9 @@ def _framer(dictionary: bytes, date: str):
     return run
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://") if "://" in path or path.startswith("/") else path)
-
-
 def _writer(folder: str, dictionary: bytes, date: str, archive: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _file_system(folder)
+        system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         press, held, size = _compressor(dictionary).compress, [], 0
 
@@ -225,20 +246,23 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, archive:
     folder = folder or new_folder(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     dictionary = trained(pages)
-    framed = cut(pages.mapInArrow(_framer(dictionary, date), "page_id long, url string, bytes long, digest string, frame binary"), "frames")
+    framed = cut(pages.mapInArrow(lean(_framer(dictionary, date)), "page_id long, url string, bytes long, digest string, frame binary"), "frames")
     firsts = framed.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first")
     # The frame isn't in this join; most payloads are unique and its few partners decide.
     kinds = framed.select("page_id", "digest", "bytes").join(firsts, ["digest", "bytes"]).where("first is not null and not page_id <=> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     joined = framed.join(kinds.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     typed = joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("type"), "refers_to", "bytes", "digest", F.when(F.col("refers_to").isNull(), F.col("frame")).alias("frame"))
-    return cut(typed.mapInArrow(_writer(folder, dictionary, date, archive), "path string, records long"), "manifest")
+    return cut(typed.mapInArrow(lean(_writer(folder, dictionary, date, archive)), "path string, records long"), "manifest")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = lambda uri: int(uri[len("<urn:x-page:") : -1]) if uri and uri != "<urn:x-page:>" else None
+    def number(uri: str | None) -> int | None:
+        own = re.fullmatch(r"<?urn:x-page:(-?[0-9]+)>?", uri or "")
+        return int(own[1]) if own else None
+
     for batch in batches:
         for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
-            system, name = _file_system(path)
+            system, name = file_system(path)
             with system.open_input_file(name) as f:
                 data = f.read()
             out, seen = [], 0
@@ -246,7 +270,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = parsed(raw)
                 h = r["headers"]
                 seen += 1
-                out.append((number(h["warc-record-id"]), h.get("warc-target-uri", ""), h["warc-type"], number(h.get("warc-refers-to")), r["payload_bytes"], h["warc-payload-digest"].removeprefix("sha1:"), r["payload"]))
+                said = h.get("warc-payload-digest")
+                digest = base32_sha1(r["payload"]) if said is None and h["warc-type"] != "revisit" else said and said.removeprefix("sha1:")
+                out.append((number(h["warc-record-id"]), h.get("warc-target-uri", ""), h["warc-type"], number(h.get("warc-refers-to")), r["payload_bytes"], digest, r["payload"], h["warc-record-id"].strip("<>"), h["warc-date"]))
                 if len(out) >= 2000:
                     yield _read_rows(out)
                     out = []
@@ -256,7 +282,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _read_rows(out)
 
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("record_id", pa.string()), ("date", pa.string())])
 
 
 def _read_rows(out: list[tuple]) -> pa.RecordBatch:
@@ -264,14 +290,17 @@ def _read_rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """The records of archives (path, records; records may be null): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (empty for revisits)."""
+    """The records of archives (path, records; records may be null): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (empty for revisits), record_id, date.
+
+    page_id and refers_to are null for ids that `write` didn't make."""
     n = max(1, min(archives.count(), 10_000))
     spread = archives.select("path", F.col("records").cast("long").alias("records")).repartition(n, F.xxhash64("path"))
-    return spread.mapInArrow(_reader, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return spread.mapInArrow(lean(_reader), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, date string")
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Archives of a folder that others have written, for read(): only paths are listed, by Spark."""
+    """Archives of a folder that others have written, for read(): only paths are listed, by Spark. What `write` has written is read from the
+    archives it returns, as a task that failed may have left an archive that no record counts."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     unknown: Column = F.lit(None).cast("long")
     return files.select("path", unknown.alias("records"))
