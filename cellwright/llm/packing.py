@@ -11,11 +11,12 @@ kept as null. Empty table: empty result. Other columns are ignored."""
 
 from __future__ import annotations
 
-import base64
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,45 +24,100 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers"
+from ._shared import lean
+
 WINDOW, END = 2048, 1
-#: Ids gathered in a task before they are packed and passed on.
-GROUP_TOKENS = 16_000_000
+#: Ids gathered in a task before they are packed, and ids passed on at once (about).
+GROUP_TOKENS, PASSED = 4_000_000, 500_000
 #: A window with less free room than this is padded, not cut into powers of two.
 SLACK = 16
 
-_SPECIAL = "<|endoftext|>"
+
+#: Parts of texts whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST, _MET = 300_000, 48, 1 << 22
+_run = re.compile(r" \s")
+# How byte-level vocabularies write bytes (those that print as themselves, the others from 256 on), and marks that stay together.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = dict(zip([b for b in range(256) if b not in _PRINTED], map(chr, range(256, 512))))
+_SPACE = _WRITTEN[32]
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+class _Remembered(dict):
+    """Ids by look-up of parts met twice, in two generations: when the younger is full, the elder is forgotten, which costs time and changes nothing."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids, self.elder, self.met = ids, {}, bytearray(_MET)
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.elder.get(part)
+        if got is None:
+            got = self.ids(part)
+            place = hash(part) & (_MET - 1)
+            if not self.met[place]:
+                self.met[place] = 1
+                return got
+        if len(part) <= LONGEST and "\n" not in part:
+            if len(self) >= REMEMBERED // 2:
+                self.elder, self.met = dict(self), bytearray(_MET)
+                self.clear()
+            self[part] = got
+        return got
 
 
 class Encoder:
-    """Ids of whole texts, as bytes of unsigned 32-bit integers.
+    """Ids of whole texts by the tokenizer, as bytes of unsigned 32-bit integers.
 
-    The ranks file holds the same vocabulary as the tokenizer's own file and gives the same ids several times faster; a
-    text with the special string in it goes through the tokenizer itself, which reads that string as one id."""
+    The tokenizer parts a text before every space that a character other than white space follows, and around a line break
+    between two such characters; what it makes of one part depends on no other. So parts are tokenized one by one, and those seen before
+    are looked up. A part that is a word of letters, with or without marks behind it, is two of the tokenizer's own units at most
+    and goes straight to its model. Texts in which white space follows a space are tokenized as a whole."""
 
-    def __init__(self, folder: str):
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
-        with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model.tokenize
+        self.marks, self.first, self.spaced = _Remembered(self._ids), _Remembered(partial(self._part, "", "")), _Remembered(partial(self._part, " ", _SPACE))
+        self.line = self._ids("\n")
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, space: str, written: str, part: str) -> bytes:
+        word = part if part.isalpha() else part.rstrip(_MARKS)
+        if word.isalpha():
+            unit = written + word if word.isascii() else written + word.encode().decode("latin-1").translate(_WRITTEN) if max(word) < "\u0250" else None
+            if unit is not None:
+                got = array("I", [x.id for x in self.model(unit)]).tobytes()
+                return got if len(word) == len(part) else got + self.marks[part[len(word) :]]
+        elif "\n" in part:
+            left, _, right = part.partition("\n")
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                return (self.spaced if space else self.first)[left] + self.line + self.first[right]
+        return self._ids(space + part)
 
     def encode(self, text: str) -> bytes:
-        ids = self.whole.encode(text, add_special_tokens=False).ids if _SPECIAL in text else self.plain(text)
-        return array("I", ids).tobytes()
+        if _run.search(text):
+            return self._ids(text)
+        first, *others = text.split(" ")
+        return self.first[first] + b"".join(map(self.spaced.__getitem__, others))
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(folder: str = TOKENIZERS) -> Encoder:
-    if folder not in _encoders:
+def encoder(path: str | None = None) -> Encoder:
+    """path: a file of the tokenizers library; by default public_tokenizers.path("byte_bpe_50k.json")."""
+    if path is None:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[folder] = Encoder(folder)
-    return _encoders[folder]
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class OpenWindows:
@@ -141,9 +197,9 @@ def _packed(docs: list[tuple], ids: list[bytes], window: int, first: int) -> tup
     return rows, more
 
 
-def _packer(window: int, end: int, folder: str, with_ids: bool):
+def _packer(window: int, end: int, path: str | None, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(folder).encode, array("I", [end]).tobytes()
+        encode, tail = encoder(path).encode, array("I", [end]).tobytes()
         state = {"next": TaskContext.get().partitionId() << 40}
         docs: list = []
         ids: list[bytes] = []
@@ -152,14 +208,19 @@ def _packer(window: int, end: int, folder: str, with_ids: bool):
         def flush():
             rows, used = _packed(docs, ids, window, state["next"])
             state["next"] += used
-            for lo in range(0, len(rows), 50_000):
-                part = rows[lo : lo + 50_000]
-                d, start, length, total, seq, off = zip(*part)
+            lo = 0
+            while lo < len(rows):
+                hi, held = lo, 0
+                while hi < len(rows) and held < PASSED:
+                    held, hi = held + rows[hi][2], hi + 1
+                d, start, length, total, seq, off = zip(*rows[lo:hi])
+                lo = hi
                 raw = [ids[x][4 * s : 4 * (s + n)] for x, s, n in zip(d, start, length)]
                 cols = [pa.array([docs[x] for x in d], state["type"]), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(total, pa.int64()), pa.array(seq, pa.int64()), pa.array(off, pa.int64())]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 if with_ids:
-                    cols.append(pa.array([np.frombuffer(r, np.uint32).astype(np.int32) for r in raw], pa.list_(pa.int32())))
+                    ends = pa.array(np.cumsum([0, *length]), pa.int32())
+                    cols.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(length), [None, pa.py_buffer(b"".join(raw))])))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -180,11 +241,11 @@ def _packer(window: int, end: int, folder: str, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end: int = END, tokenizers: str = TOKENIZERS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end: int = END, tokenizer: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, the ids.
 
-    The end token is the last id of each document. A sequence holds `window` ids at most; its offsets are gapless."""
+    tokenizer: a file of the tokenizers library, see `encoder`. The end token is the last id of each document. A sequence holds `window` ids at most; its offsets are gapless."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.mapInArrow(_packer(window, end, tokenizers, with_ids), schema)
+    return docs.mapInArrow(lean(_packer(window, end, tokenizer, with_ids)), schema)
