@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm import mixing, packing, pii, text_dedup, toxicity
-from cellwright.llm._shared import cut, new_folder
+from cellwright.llm._shared import new_folder
 
 #: Documents with at least this score go.
 TOXIC = 0.3
@@ -22,17 +22,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: the one with the smallest doc_id, those without an id last, and of rows that share that id
-    the one whose text has the least hash. Texts without words are groups of their own; of those that share an id one stays for each text."""
-    # Rows are decided on by id and text, so neither null nor shared ids mix up the decisions.
-    name = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    found = text_dedup.near_duplicates(docs.select(name.alias("doc_id"), "text")).where("kept")
-    found = cut(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")), "kept")
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("i"))
-    hit = named.join(found, F.col("i") == F.col("kept_id"))
-    alone = "rows = 1 or (i.no and n = 0)"
-    once = hit.where(alone).select("row")
-    shared = hit.where(f"not ({alone})").groupBy("i").agg(F.first("row").alias("row")).select("row")
-    return once.union(shared).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    the first by place. Texts without words are groups of their own; of those that share an id one stays for each text."""
+    return text_dedup.one_of_each(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
