@@ -5,8 +5,9 @@ and compares each with its neighbours in a bounded window; links found in any pa
 pass to a chain of others needs no direct comparison to join their component.
 
 Equal vectors are one class from the start. Windows verify cosines in double precision and give out only links that
-connect what their block hadn't yet connected. Link counts are then exact within components: all classes of a component are
-compared with each other in blocks of bounded size, which add up counts and give out no pairs.
+connect what their block hadn't yet connected. Link counts are then exact within components. Their classes stand in blocks by the
+angle to one of them; blocks so near to it that all of their vectors must be linked are counted as a whole, blocks whose
+angles differ too much are passed over, and the others are compared, which adds up counts and gives out no pairs.
 
 With sign keys a pair of angle a agrees on b leading bits with probability (1 - a / pi)^b; windows of WINDOW among n
 vectors need b = log2(n / WINDOW). From that the number of passes follows such that a pair at `least` is compared
@@ -22,10 +23,10 @@ from __future__ import annotations
 from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, cut
+from ._shared import components, cut, numbered
 
 LEAST_PASSES, WINDOW, BLOCK, BITS, SEED = 16, 64, 1024, 62, 29
 RECALL = 0.999
@@ -125,7 +126,38 @@ def _count_job(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int | None = None, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _cosine(a: str, b: str):
+    """Cosine of two array columns of one length, in double precision; scaled first, so that squares neither overflow nor vanish."""
+    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.array_max(F.transform(v, lambda y: F.abs(y.cast("double")))))
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    x = F.array(F.struct(unit(F.col(a)).alias("a"), unit(F.col(b)).alias("b")))
+    said = F.transform(x, lambda v: add(F.zip_with(v["a"], v["b"], lambda p, q: p * q)) / F.sqrt(add(F.transform(v["a"], lambda p: p * p)) * add(F.transform(v["b"], lambda q: q * q))))
+    return F.get(said, F.lit(0))
+
+
+def _ranges(least: float):
+    """For the blocks of a component, in the order of angles to the pivot: the rows of the blocks that are linked with this one as a whole
+    (two angles to the pivot add up to no more than the threshold's), whether it is one of them, and the blocks that must be compared
+    with it (the angles differ by no more than the threshold's). In whole numbers, so that both blocks of a pair say the same."""
+    unit = 1e9
+    limit = acos(max(-1.0, min(1.0, least))) * unit
+
+    def run(f):
+        import pandas as pd
+
+        f = f.sort_values("own")
+        low, high = np.floor(f["low"].to_numpy() * unit).astype(np.int64) - 1000, np.ceil(f["high"].to_numpy() * unit).astype(np.int64) + 1000
+        own = np.arange(len(f))
+        whole = np.searchsorted(high, int(limit) - 2000 - high, side="right")  # so many blocks from the first
+        rows = np.r_[0, np.cumsum(f["rows"].to_numpy())]
+        first = np.maximum(whole, np.searchsorted(high, low - int(limit) - 2000, side="left"))
+        last = np.searchsorted(low, high + int(limit) + 2000, side="right") - 1
+        return pd.DataFrame({"root": f["root"].to_numpy(), "own": own, "whole": rows[whole], "itself": own < whole, "first": first, "last": last})
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int | None = None, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per row: vec_id, n_links (other rows with cosine >= least, found), component_id (least vec_id reachable), kept.
 
     passes: by default as many as RECALL takes for the number of distinct vectors."""
@@ -138,30 +170,35 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int | None =
     n_classes = classes.count()
     passes = passes_for(n_classes, least, window) if passes is None else passes
 
-    # Sort each pass: the rank within it is the place in a range partition plus the sizes of those before.
+    # Sort each pass: ranks go through all passes.
     keys = classes.mapInPandas(_keys(passes, BITS), "cls string, keys array<long>").select(F.posexplode("keys").alias("pass", "key"), "cls")
-    keys = keys.repartitionByRange("pass", "key", "cls").sortWithinPartitions("pass", "key", "cls").withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
-    keys = cut(keys.select("pass", "cls", "part", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "ranks")
-    sizes = keys.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))  # one row per partition
-    ranked = keys.join(ahead, "part").select("cls", "pass", (F.col("ahead") + F.col("place")).alias("rank"))
+    ranked = numbered(keys, "pass", "key", "cls").select("cls", "pass", "rank")
     # A block also gets the first `window` rows of the next one.
-    own = F.floor(F.col("rank") / BLOCK)
-    halo = (F.col("rank") % BLOCK < window) & (own > 0)
+    own = F.floor(F.col("rank") / block)
+    halo = (F.col("rank") % block < window) & (own > 0)
     dealt = ranked.select("cls", "pass", "rank", F.explode(F.when(halo, F.array(own, own - 1)).otherwise(F.array(own))).alias("block"))
     links = dealt.join(classes.select("cls", "embedding"), "cls").groupBy("block").applyInPandas(_window_job(window, least), "a string, b string")
     found = components(links)
 
-    # Exact link counts within components.
+    # Exact link counts within components: their classes stand in blocks, in the order of their angles to one of them (the pivot).
     inside = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rows", "embedding", F.coalesce("root", "cls").alias("root"))
-    spread = inside.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    part = inside.join(spread, "root").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = part.select("cls", "rows", "embedding", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = cut(inside.groupBy("root").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).where("n > 1"), "components")
+    pivots = spread.select("root", "n", F.col("pivot").alias("cls")).join(classes.select("cls", F.col("embedding").alias("pivot")), "cls").drop("cls")
+    angles = inside.join(pivots, "root").select("root", "cls", "rows", "n", F.acos(F.least(F.greatest(_cosine("embedding", "pivot"), F.lit(-1.0)), F.lit(1.0))).alias("angle"))
+    angles = numbered(angles, "root", "angle", "cls")
+    begins = angles.groupBy("root").agg(F.min("rank").alias("begin"))
+    angles = angles.join(begins, "root").withColumn("own", F.floor((F.col("rank") - F.col("begin")) / block).cast("int"))
+    blocks = angles.groupBy("root", "own").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("rows").alias("rows"))
+    ranges = blocks.groupBy("root").applyInPandas(_ranges(least), "root string, own int, whole long, itself boolean, first int, last int")
+    part = cut(angles.join(ranges, ["root", "own"]).select("root", "cls", "rows", "n", "own", (F.col("whole") - F.when(F.col("itself"), F.col("rows")).otherwise(0)).alias("whole"), "first", "last"), "angles")
+    certain = part.select("cls", F.col("whole").alias("links"))
+    part = part.where("first <= last").withColumn("other", F.explode(F.sequence("first", "last"))).join(classes.select("cls", "embedding"), "cls")
+    part = part.select("cls", "rows", "embedding", "root", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # Small components share groups; a block pair of a large one is a group.
-    most = max(1, n_classes // BLOCK)
-    group = F.when(F.col("n") > BLOCK // 4, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(most)))
-    part = part.join(spread.select("root", "n"), "root").withColumn("group", group).drop("n")
-    counts = part.groupBy("group").applyInPandas(_count_job(least), "cls string, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+    most = max(1, n_classes // block)
+    group = F.when(F.col("n") > block // 4, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(most)))
+    compared = part.withColumn("group", group).drop("n").groupBy("group").applyInPandas(_count_job(least), "cls string, links long")
+    counts = certain.union(compared).groupBy("cls").agg(F.sum("links").alias("links"))
 
     least_id = inside.join(classes.select("cls", "vec_id"), "cls").groupBy("root").agg(F.min("vec_id").alias("component_id"))
     named = inside.select("cls", "rows", "root").join(least_id, "root").join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
