@@ -7,6 +7,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.constraint import Constraint, Ref
 from ..sources.tables import INDEX, flatten
@@ -33,6 +34,18 @@ class Observed:
         return domain.where("observed = 1").select(*KEY, F.lit("Init").alias("feature"), F.lit(1.0).alias("value"))
 
 
+#: Ranges of row numbers in which the rows of a group are counted by themselves.
+SHARES = 1024
+
+
+def row_numbers(df: DataFrame, ind: str = INDEX) -> tuple[int, int] | None:
+    """The least and the greatest row number; None if rows aren't numbered by whole numbers, or there are none."""
+    if not isinstance(df.schema[ind].dataType, T.IntegralType):
+        return None
+    low, high = df.agg(F.min(F.col(f"`{ind}`")), F.max(F.col(f"`{ind}`"))).first()
+    return None if low is None else (low, high)
+
+
 class Relaxed:
     """A constraint in which one operand of one predicate is replaced by a cell's candidate.
 
@@ -56,16 +69,17 @@ class Relaxed:
         order = [] if len(self.constraint.tuples) != 2 else [f"{self.constraint.tuples[0]}.ind{'<>' if self.different else '<'}{self.constraint.tuples[1]}.ind"]
         return " AND ".join([mine if q is p else str(q) for q in self.constraint.predicates] + order)
 
-    def counts(self, df: DataFrame, domain: DataFrame, ind: str = INDEX) -> DataFrame:
-        """(ind, attr, val, n): with how many rows (or whether, for one tuple) a candidate violates the relaxed constraint."""
+    def counts(self, df: DataFrame, domain: DataFrame, ind: str = INDEX, ends: tuple[int, int] | None = None) -> DataFrame:
+        """(ind, attr, val, n): with how many rows (or whether, for one tuple) a candidate violates the relaxed constraint.
+
+        ends: the least and the greatest row number, if they are known."""
         name, attribute = self.ref.tuple, self.ref.attribute
         others = [t for t in self.constraint.tuples if t != name]
+        events = self.events(0, df, domain, ind, ends or row_numbers(df, ind))
+        if events is not None:
+            return _counted(*events, ["__r"]).select(*[F.col(f"__cand_{k}").alias(k) for k in KEY], "n")
         given = domain.where(F.col("attr") == attribute).select(*[F.col(k).alias(f"__cand_{k}") for k in KEY])
         swap = F.col("__cand_val").cast(df.schema[attribute].dataType)
-        if len(others) == 1:
-            found = self._counted(df, given, swap, name, ind)
-            if found is not None:
-                return found
         row = df.alias(name).join(given, F.col(f"`{name}`.`{ind}`") == F.col("__cand_ind"))
         conditions = [p.column({self.side: swap} if i == self.number else None) for i, p in enumerate(self.constraint.predicates)]
         if not others:
@@ -82,43 +96,51 @@ class Relaxed:
             row = row.join(df.alias(t), _all(ready + apart))
         return _per_candidate(row.where(_all(conditions)))
 
-    def _counted(self, df: DataFrame, given: DataFrame, swap: Column, name: str, ind: str) -> DataFrame | None:
-        """counts() of two tuples by the place of a candidate's row among the rows of its group, without pairs of rows; None where
-        more than equalities and one inequality tie the tuples."""
+    def events(self, number: int, df: DataFrame, domain: DataFrame, ind: str, ends: tuple[int, int] | None) -> tuple[DataFrame, DataFrame] | None:
+        """Candidates and rows of a constraint of two tuples, in one form for all constraints, so that they are counted together: number, keys
+        (array of strings) and unequal value, place in an order, share of it. A candidate counts the rows of its keys that come before
+        it, less those with its value. None where more than equalities and one inequality tie the tuples."""
+        name = self.ref.tuple
+        swap = F.col("__cand_val").cast(df.schema[self.ref.attribute].dataType)
+        if len(self.constraint.tuples) != 2 or ends is None:
+            return None
         s = sides(df, self.constraint, name, (self.number, self.side, swap))
-        if s is None or len(s.by("IQ")) + len(s.by("EQ")) < len(s.across) or len(s.by("IQ")) > 1:
+        plain = (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        if s is None or len(s.by("IQ", "EQ")) < len(s.across) or len(s.by("IQ")) > 1 or not all(isinstance(df.schema[x.other].dataType, plain) for x in s.across):
             return None
-        unequal = s.by("IQ")
-        kinds = [x.other for x in s.by("EQ")]
-        keys = [f"__k{i}" for i in range(len(kinds))] or ["__k"]
-        me = [F.col(f"__cand_{k}") for k in KEY]
-        mine = [x.own.alias(k) for k, x in zip(keys, s.by("EQ"))] or [F.lit(0).alias("__k")]
-        value = [x.own.alias("__v") for x in unequal]
+        unequal, equal = s.by("IQ"), s.by("EQ")
+        text = lambda columns: F.array(*[c.cast("string") for c in columns]).cast("array<string>")
+        its = [F.col(f"`{x.other}`") for x in equal]
+        value = unequal[0].own if unequal else F.lit("")
+        given = domain.where(F.col("attr") == self.ref.attribute).select(*[F.col(k).alias(f"__cand_{k}") for k in KEY])
+        # Does a candidate's own row stand in the group, and with the same value? Where rows only differ, it is taken off again.
+        itself = _all([*s.other, *(x.own == y for x, y in zip(equal, its)), *(F.col(f"`{x.other}`").isNotNull() for x in unequal)])
+        same = _all([itself, *(x.own == F.col(f"`{x.other}`") for x in unequal)])
+        off = lambda c: F.coalesce(c, F.lit(False)).cast("int") if self.different else F.lit(0)
+        at = F.col(f"`{ind}`").cast("long")
+        share = F.floor((at - ends[0]) / float((ends[1] - ends[0]) // SHARES + 1)).cast("int")
+        turn = -1 if self.constraint.tuples[0] == name else 1  # the other tuple's row number is the greater one
+        if self.different:  # all rows come first
+            asked, told = (F.lit(1).cast("long"), F.lit(SHARES + 2) + share), (F.lit(0).cast("long"), share)
+        else:
+            asked = told = (at * turn, share * turn)
         probes = df.join(given, F.col(f"`{ind}`") == F.col("__cand_ind")).where(_all(s.own))
-        # Does a candidate's own row stand in the group, and with the same value? Such a row doesn't count.
-        itself = _all([*s.other, *(x.own == F.col(f"`{x.other}`") for x in s.by("EQ")), *(F.col(f"`{x.other}`").isNotNull() for x in unequal)])
-        same = [(x.own == F.col(f"`{x.other}`")) for x in unequal]
-        probes = probes.select(*me, *mine, *value, F.coalesce(itself, F.lit(False)).alias("__in"), F.coalesce(_all([itself, *same]), F.lit(False)).alias("__same"))
-        known = _all([F.col(k).isNotNull() for k in keys])
-        probes = probes.where(known if not unequal else known & F.col("__v").isNotNull())
-        rows = df.where(_all(s.other)).select(F.col(f"`{ind}`").alias("__ind"), *([F.col(f"`{a}`").alias(k) for k, a in zip(keys, kinds)] or [F.lit(0).alias("__k")]), *[F.col(f"`{x.other}`").alias("__v") for x in unequal])
-        rows = rows.where(known if not unequal else known & F.col("__v").isNotNull())
-        every = self._beside(rows, probes, keys, name, "__in", "__n")
-        if unequal:
-            every = self._beside(rows, every, [*keys, "__v"], name, "__same", "__equal").withColumn("__n", F.col("__n") - F.col("__equal"))
-        return every.where("__n > 0").select(*[F.col(f"__cand_{k}").alias(k) for k in KEY], F.col("__n").alias("n"))
-
-    def _beside(self, rows: DataFrame, probes: DataFrame, keys: list[str], name: str, itself: str, out: str) -> DataFrame:
-        """probes with the number of rows of the same keys: other rows if self.different, else those on the far side in the order of row numbers."""
-        if self.different:
-            sums = rows.groupBy(*keys).agg(F.count("*").alias("__all"))
-            return probes.join(sums, keys, "left").withColumn(out, F.coalesce("__all", F.lit(0)) - F.col(itself).cast("long")).drop("__all")
-        after = self.constraint.tuples[0] == name  # the other tuple's row number is the greater one
-        asked = probes.withColumns({"__ind": F.col("__cand_ind"), "__one": F.lit(0)})
-        both = asked.unionByName(rows.select(*keys, "__ind", F.lit(1).alias("__one")), allowMissingColumns=True)
-        order = [F.desc("__ind") if after else F.asc("__ind"), F.asc("__one")]
-        counted = before(both, keys, order, "__one", F.sum, out).where("__one = 0")
-        return counted.withColumn(out, F.coalesce(out, F.lit(0))).drop("__one", "__ind")
+        probes = probes.select(F.lit(number).alias("__r"), text([x.own for x in equal]).alias("__k"), value.cast("string").alias("__v"), asked[0].alias("__at"), asked[1].alias("__s"), F.lit(bool(unequal)).alias("__u"), *[F.col(f"__cand_{k}") for k in KEY], off(itself).alias("__in"), off(same).alias("__same"))
+        rows = df.where(_all(s.other)).select(F.lit(number).alias("__r"), text(its).alias("__k"), (F.col(f"`{unequal[0].other}`") if unequal else F.lit("")).cast("string").alias("__v"), told[0].alias("__at"), told[1].alias("__s"), F.lit(bool(unequal)).alias("__u"))
+        known = F.col("__v").isNotNull() & F.forall("__k", lambda x: x.isNotNull())
+        return probes.where(known), rows.where(known)
+
+
+def _counted(probes: DataFrame, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The candidates of `events` with n, the number of rows that they violate their constraint with, where there are any."""
+    both = probes.withColumn("__one", F.lit(0)).unionByName(rows.withColumn("__one", F.lit(1)), allowMissingColumns=True)
+    order = [F.asc("__at"), F.asc("__one")]
+    both = before(both, ["__r", "__k"], order, "__one", F.sum, "__all", F.col("__s"))
+    # Rows go on to the second count only where a value must differ.
+    both = before(both.where("__one = 0 or __u"), ["__r", "__k", "__v"], order, "__one", F.sum, "__equal", F.col("__s")).where("__one = 0")
+    equal = F.when(F.col("__u"), F.coalesce("__equal", F.lit(0)) - F.col("__same")).otherwise(0)
+    n = F.coalesce("__all", F.lit(0)) - F.col("__in") - equal
+    return both.select(*keep, *[f"__cand_{k}" for k in KEY], n.cast("long").alias("n")).where("n > 0")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -139,7 +161,15 @@ class Violations:
         return [(f"DC{i}", r.ref.attribute, "DC") for i, r in enumerate(self.relaxed, 1)]
 
     def features(self, df: DataFrame, domain: DataFrame, ind: str = INDEX) -> DataFrame:
-        parts = [r.counts(df, domain, ind).select(*KEY, F.lit(name).alias("feature"), F.col("n").cast("double").alias("value")) for r, (name, _, _) in zip(self.relaxed, self.names())]
+        ends = row_numbers(df, ind)
+        names = [n for n, _, _ in self.names()]
+        events = [r.events(i, df, domain, ind, ends) for i, r in enumerate(self.relaxed)]
+        parts = [r.counts(df, domain, ind, ends).select(*KEY, F.lit(n).alias("feature"), F.col("n").cast("double").alias("value")) for r, n, e in zip(self.relaxed, names, events) if e is None]
+        together = [e for e in events if e is not None]
+        if together:
+            found = _counted(reduce(DataFrame.union, [p for p, _ in together]), reduce(DataFrame.union, [r for _, r in together]), ["__r"])
+            name = F.element_at(F.array(*map(F.lit, names)), F.col("__r") + 1)
+            parts.append(found.select(*[F.col(f"__cand_{k}").alias(k) for k in KEY], name.alias("feature"), F.col("n").cast("double").alias("value")))
         return reduce(DataFrame.union, parts)
 
 

@@ -14,13 +14,15 @@ from ..sources.scratch import cut
 _TURNED = {"EQ": "EQ", "IQ": "IQ", "LT": "GT", "GT": "LT", "LTE": "GTE", "GTE": "LTE"}
 
 
-def before(df: DataFrame, keys: list[str], order: list[Column], value: str, how: Callable[[str], Column], name: str) -> DataFrame:
+def before(df: DataFrame, keys: list[str], order: list[Column], value: str, how: Callable[[str], Column], name: str, share: Column | None = None) -> DataFrame:
     """df with how(value) (sum, max or min) over the rows of the same keys that come earlier in the order; null if there are none.
 
-    All rows are sorted by ranges, so a group may go over any number of tasks: within a task's share of a group a window
-    runs, and what earlier shares add up to, one row for each group and share, is joined."""
-    shares = cut(df.repartitionByRange(*keys, *order).withColumn("__share", F.spark_partition_id()), "ordered")
-    own = Window.partitionBy("__share", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    A group may go over any number of tasks: within a share of a group a window runs, and what earlier shares add up to, one
+    row for each group and share, is joined. share: numbers that rise with the order; by default all rows are sorted by ranges, and
+    shares are the ranges. The rows are written first, as they are read twice."""
+    df = df.repartitionByRange(*keys, *order) if share is None else df
+    shares = cut(df.withColumn("__share", F.spark_partition_id() if share is None else share), "ordered")
+    own = Window.partitionBy(*keys, "__share").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = shares.groupBy(*keys, "__share").agg(how(value).alias("__sum"))
     earlier = Window.partitionBy(*keys).orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__earlier", how("__sum").over(earlier)).drop("__sum")
