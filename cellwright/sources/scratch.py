@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+_watched: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders named by new_folder within: for work whose result is written elsewhere before the end."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched[:] = [x for x in _watched if x is not made]
+        for path in made:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
