@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm import mixing, packing, pii, text_dedup, toxicity
-from cellwright.llm._shared import new_folder
+from cellwright.sources.scratch import new_folder, remove, temporary
 
 #: Documents with at least this score go.
 TOXIC = 0.3
@@ -50,15 +50,19 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained weights, hashes and a tokenizer decide: no SQL gives these rows. Tests hold the operators against brute force, the stages against
-#: what must be true of each, near_duplicates against rows worked out by hand; run() as a whole is not compared with another version.
+#: Trained weights, hashes and a tokenizer decide: no SQL gives these rows. Tests hold the operators against brute force and run() against
+#: plain versions of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage leaves behind is deleted once its result is written, each result once the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
