@@ -5,6 +5,7 @@ Most work on `part`, where name and size should determine the brand; row numbers
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,12 @@ def dc_three_tuple(spark, d):
     return detect.ConstraintDetector([rule("a&b&c&EQ(a.n_regionkey,b.n_regionkey)&EQ(b.n_regionkey,c.n_regionkey)&LT(a.n_name,b.n_name)&LT(b.n_name,c.n_name)", df)]).noisy_cells(df)
 
 
+def dc_union(spark, d):
+    """Two constraints whose suspect cells overlap."""
+    df = part(spark, d)
+    return detect.ConstraintDetector([rule(RULE, df), rule("t1&t2&EQ(t1.p_brand,'Brand#11')&EQ(t2.p_brand,'Brand#22')&EQ(t1.p_name,t2.p_name)", df), rule("t1&GT(t1.p_type,'T')", df)]).noisy_cells(df)
+
+
 def null_cells(spark, d):
     return detect.NullDetector().noisy_cells(holes(spark, d))
 
@@ -335,6 +342,16 @@ def loaded_csv(spark, d):
     return tables.flatten(session.load_data(path))
 
 
+def read_formats(spark, d):
+    """The same table read by the ending of its path, whatever the format."""
+    df, out = part(spark, d), []
+    for kind in tables.FORMATS:
+        path = new_folder(spark, "part") + "." + kind
+        df.write.options(header=True).format(kind).save(path)
+        out.append(tables.read(spark, path).groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.col("p_size").cast("long")).alias("s")).withColumn("format", F.lit(kind)))
+    return reduce(DataFrame.union, out)
+
+
 def map_schema(spark, d):
     return _session(spark, part(spark, d)).catalog.get("Map_schema")
 
@@ -440,7 +457,7 @@ def catalog_query(spark, d):
     return catalog.query("SELECT p_brand, max(p_size) AS largest, count(*) AS n FROM {Init} GROUP BY p_brand")
 
 
-_PUBLIC = [dirty_attributes, feature_literal, feature_single, noisy_domain, noisy_features, noisy_repaired, train_step, session_repair, session_cells, loaded_csv, map_schema, saved_table, refused_constraints, compare_to_truth, wrangle_default, wrangle_file, dc_dk_cells, dc_clean_cells, dc_dependency, dc_theta, dc_equi, dc_single, dc_literal, dc_three_tuple, null_cells, regex_cells, detector_union, detector_intersect, labelled_cells, index_rows, long_columns, flat_cells, value_counts, pair_counts, cooccur_lookup, dk_domain, domain_sizes, numbered_domain, clean_domain_all, clean_domain_sampled, feature_observed, feature_constraint, feature_cooccur, feature_normalized, feature_map, dimensions, infer_softmax, infer_topk, infer_map, repaired_fixed, train_repair, precision_recall, wrangle_lower_trim, wrangle_clusters, wrangle_jaccard, catalog_query]
+_PUBLIC = [read_formats, dc_union, dirty_attributes, feature_literal, feature_single, noisy_domain, noisy_features, noisy_repaired, train_step, session_repair, session_cells, loaded_csv, map_schema, saved_table, refused_constraints, compare_to_truth, wrangle_default, wrangle_file, dc_dk_cells, dc_clean_cells, dc_dependency, dc_theta, dc_equi, dc_single, dc_literal, dc_three_tuple, null_cells, regex_cells, detector_union, detector_intersect, labelled_cells, index_rows, long_columns, flat_cells, value_counts, pair_counts, cooccur_lookup, dk_domain, domain_sizes, numbered_domain, clean_domain_all, clean_domain_sampled, feature_observed, feature_constraint, feature_cooccur, feature_normalized, feature_map, dimensions, infer_softmax, infer_topk, infer_map, repaired_fixed, train_repair, precision_recall, wrangle_lower_trim, wrangle_clusters, wrangle_jaccard, catalog_query]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -549,6 +566,8 @@ def oracle_sql() -> dict[str, str]:
     refused = ["t1&t2", "t1&XX(t1.p_name,'a')", "t1&EQ(t1.p_name)", "t1&EQ(t1.p_name,'a','b')", "t1&fooEQ(t1.p_name,'a')", "t1&EQ(t1.p_name,'a'x)", "t1&EQ(t1.p_name,t2.p_name)", "t1&EQ(t1.none,'a')", "t1&EQ('a',t1.p_name)", "EQ(t1.p_name,'a')", "t1&EQ(t1.p_name,'a'"]
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     return {
+        "read_formats": "SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s, format FROM part, (VALUES ('csv'), ('parquet'), ('orc'), ('json')) t(format) GROUP BY p_brand, format",
+        "dc_union": f"WITH {_P}, {_DK_IDS}, {_DK} SELECT ind, attr FROM dk UNION SELECT ind, attr FROM ({_explode(lit.format('Brand#11', 'Brand#22') + ' UNION ' + lit.format('Brand#22', 'Brand#11'), ['p_brand', 'p_name'])}) UNION SELECT ind, 'p_type' FROM p WHERE p_type > 'T'",
         "dirty_attributes": f"WITH {_P}, {_DK_IDS}, {_DK} SELECT DISTINCT attr FROM dk",
         "feature_literal": f"WITH {_P}, {_SWAPPED} SELECT ind, attr, val, feature, value FROM ({_LITERAL})",
         "feature_single": f"WITH {_P}, {_SWAPPED} SELECT ind, attr, val, feature, value FROM ({_SINGLE})",
