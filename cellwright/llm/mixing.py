@@ -198,7 +198,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: f
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, most: int = 2, seed: int = 17, doc_weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it; all columns, in their order. Texts aren't shuffled, but for equal rows of which only some are taken."""
+    """docs with each row as often as the mix takes it; all columns, in their order. With FEW_SOURCES at most, texts
+    aren't shuffled, but for equal rows of which only some are taken."""
     rows, per, few = _plan(docs, weights, budget, most, seed, doc_weight, id_col, text_col, source_col)
     forget(rows)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_facts(docs, seed, doc_weight, id_col, text_col, source_col))

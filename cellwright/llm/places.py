@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ._shared import cut, file_system, forget, lean, new_folder, plain_read
 
-BLOCK, BUCKET, LEAST_BUCKETS = 1 << 16, 1 << 19, 8
+BLOCK, BUCKET, LEAST_BUCKETS = 1 << 16, 1 << 19, 4
 
 
 def at_rest(docs: DataFrame) -> DataFrame:

@@ -206,7 +206,9 @@ def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
 
     member = classes.select("key", F.posexplode(_bands(F.col("registers"))).alias("band", "bucket"))
     hubs = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key"))["key"].alias("hub"), F.count("*").alias("n")).where("n > 1")
-    member = cut(member.join(hubs, "bucket"), "members")
+    # Few of the classes' bands meet others, so what is left of several partitions goes to one file.
+    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 6)
+    member = cut(member.join(hubs, "bucket").coalesce(files), "members")
     stars = member.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     links = _confirmed(docs, classes, stars, shingle, percent)
     found = components(links)

@@ -78,6 +78,15 @@ def test_mixing_against_the_plain_way(spark):
         assert weight is not None or all(abs(n - t) <= 0.01 * t + 200 for (_, t), n in off.items()), off
 
 
+def test_many_sources_are_joined_and_not_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7 % 50), "en", f"host{i % 90}" if i % 8 else None, 0) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS)
+    few = sorted((r.doc_id, r.copies) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    assert sorted((r.doc_id, r.copies) for r in mixing.mix(df).collect()) == few
+    assert Counter(r.doc_id for r in mixing.mixed(df).collect()) == {i: n for i, n in few if n}
+
+
 def test_equal_rows_of_which_some_are_taken(spark):
     same = [(7 if i % 2 else None, "w " * 10, "en", "a", 0) for i in range(400)]
     df = spark.createDataFrame(same + [(1000 + i, "w " * 10, "en", "bcd"[i % 3], 0) for i in range(3000)], DOCS).repartition(6)
