@@ -98,6 +98,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _reached(nodes: str, links: str) -> str:
+    """Recursive tables: r, who reaches whom over the links (a, b) in both directions; root, the least id that each of nodes (id) reaches, itself included."""
+    return f"sides AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}), r(v, u) AS (SELECT a, b FROM sides UNION SELECT r.v, sides.b FROM r JOIN sides ON r.u = sides.a), root AS (SELECT n.id, least(n.id, coalesce(min(r.u), n.id)) AS root FROM {nodes} n LEFT JOIN r ON r.v = n.id GROUP BY n.id)"
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHINGLES = f"""w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.c + y.c - i)),
+node AS (SELECT doc_id AS id FROM documents)"""
+
 def oracle_sql() -> dict[str, str]:
-    """None of these is plain SQL: they depend on hashes, trained weights or tokenizers. tests/llm holds each against a brute-force version."""
-    return {}
+    """Links in plain SQL, pair by pair. The others rest on seeded hashes, trained weights or a tokenizer; tests/llm holds each
+    against a brute-force version."""
+    usable = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    return {
+        "op4_vector_dedup": f"WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {usable}), link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9), node AS (SELECT vec_id AS id FROM embeddings), {_reached('node', 'link')} SELECT id AS vec_id, (SELECT count(*) FROM sides WHERE a = id) AS n_links, root AS component_id, id = root AS kept FROM root",
+        "op5_minhash_dedup": f"WITH RECURSIVE {_SHINGLES}, {_reached('node', 'link')} SELECT id AS doc_id, coalesce(c, 0) AS n_shingles, root AS component_id, id = root AS kept FROM root LEFT JOIN n ON n.doc_id = id",
+    }
