@@ -28,13 +28,13 @@ from ._shared import lean
 
 WINDOW, END = 2048, 1
 #: Ids gathered in a task before they are packed, and ids passed on at once (about).
-GROUP_TOKENS, PASSED = 4_000_000, 500_000
+GROUP_TOKENS, PASSED = 2_000_000, 500_000
 #: A window with less free room than this is padded, not cut into powers of two.
 SLACK = 16
 
 
 #: Parts of texts whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST, _MET = 300_000, 48, 1 << 22
+REMEMBERED, LONGEST, _MET = 400_000, 48, 1 << 22
 _run = re.compile(r" \s")
 # How byte-level vocabularies write bytes (those that print as themselves, the others from 256 on), and marks that stay together.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
