@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.constraint import OPERATORS, Constraint
-from ..sources.tables import INDEX, cells, flatten
+from ..sources.tables import INDEX, cells, flatten, whole
 from .ordered import before, sides
 
 
@@ -25,7 +25,7 @@ class Detector(Protocol):
 class _Rest:
     def clean_cells(self, df: DataFrame, ind: str = INDEX) -> DataFrame:
         """Every cell that isn't noisy."""
-        return cells(df, ind).join(self.noisy_cells(df, ind).toDF("ind", "attr"), ["ind", "attr"], "left_anti")
+        return whole(cells(df, ind)).join(self.noisy_cells(df, ind).toDF("ind", "attr"), ["ind", "attr"], "left_anti")
 
 
 class ConstraintDetector(_Rest):
@@ -62,7 +62,7 @@ class LabelledCells(_Rest):
 
     def noisy_cells(self, df: DataFrame, ind: str = INDEX) -> DataFrame:
         given = self.given.toDF("ind", "attr")
-        return cells(df, ind).join(given, ["ind", "attr"], "left_anti" if self.clean else "left_semi")
+        return whole(cells(df, ind)).join(given, ["ind", "attr"], "left_anti" if self.clean else "left_semi")
 
 
 def violating(df: DataFrame, c: Constraint, name: str, ind: str = INDEX) -> DataFrame:
@@ -88,7 +88,7 @@ def violating(df: DataFrame, c: Constraint, name: str, ind: str = INDEX) -> Data
         if kind == "theta":
             warnings.warn(f"no equality joins the tuples of {c.text}: every pair of rows is compared", stacklevel=2)
         other = next(t for t in c.tuples if t != name)
-        return df.alias(name).join(df.alias(other), c.column() & apart(name, other), "left_semi").select(F.col(f"`{ind}`").alias("ind"))
+        return (df if kind == "theta" else whole(df)).alias(name).join(df.alias(other), c.column() & apart(name, other), "left_semi").select(F.col(f"`{ind}`").alias("ind"))
     order = [name, *(t for t in c.tuples if t != name)]
     joined, done = df.alias(order[0]), [order[0]]
     rest = list(c.predicates)
@@ -97,7 +97,7 @@ def violating(df: DataFrame, c: Constraint, name: str, ind: str = INDEX) -> Data
         ready = [p for p in rest if all(r.tuple in done for r in p.refs())]
         rest = [p for p in rest if p not in ready]
         condition = reduce(lambda a, b: a & b, [p.column() for p in ready] + [apart(t, s) for s in done[:-1]])
-        joined = joined.join(df.alias(t), condition)
+        joined = joined.join(whole(df).alias(t), condition)
     return joined.select(F.col(f"`{name}`.`{ind}`").alias("ind")).distinct()
 
 
@@ -128,20 +128,20 @@ def _by_order(df: DataFrame, c: Constraint, name: str, ind: str) -> DataFrame |
     out = F.col("__me").alias("ind")
     if not compared and not unequal:
         ends = rows().groupBy(*keys).agg(F.min("__ind").alias("__lo"), F.max("__ind").alias("__hi"))
-        return probes().join(ends, keys).where("__lo <> __me or __hi <> __me").select(out)
+        return whole(probes()).join(ends, keys).where("__lo <> __me or __hi <> __me").select(out)
     if unequal:
         ends = rows(F.col(f"`{unequal[0].other}`").alias("__y")).groupBy(*keys).agg(F.min("__y").alias("__lo"), F.max("__y").alias("__hi"))
-        return probes(unequal[0].own.alias("__v")).join(ends, keys).where("__lo <> __v or __hi <> __v").select(out)
+        return whole(probes(unequal[0].own.alias("__v"))).join(ends, keys).where("__lo <> __v or __hi <> __v").select(out)
     other, op, value = compared[-1].other, compared[-1].operator, compared[-1].own
     best = F.max if op in ("GT", "GTE") else F.min
     if len(compared) == 1:
         group = rows(F.col(f"`{other}`").alias("__y")).where("__y is not null")
         tops = group.groupBy(*keys).agg(best(F.struct("__y", "__ind")).alias("__top"))
-        joined = probes(value.alias("__v")).join(tops, keys)
+        joined = whole(probes(value.alias("__v"))).join(tops, keys)
         if alone:
             return joined.where(meets(op, F.col("__top.__y"), F.col("__v"))).select(out)
         held = tops.select(*keys, F.col("__top.__ind").alias("__holder"))
-        second = group.join(held, keys).where("__ind <> __holder").groupBy(*keys).agg(best("__y").alias("__next"))
+        second = whole(group).join(held, keys).where("__ind <> __holder").groupBy(*keys).agg(best("__y").alias("__next"))
         reached = F.when(F.col("__top.__ind") == F.col("__me"), F.col("__next")).otherwise(F.col("__top.__y"))
         return joined.join(second, keys, "left").where(meets(op, reached, F.col("__v"))).select(out)
     first, first_op, at = compared[0].other, compared[0].operator, compared[0].own
@@ -176,5 +176,11 @@ def detect(df: DataFrame, detectors: list[Detector], ind: str = INDEX) -> tuple[
     if not detectors:
         raise ValueError("at least one detector is needed")
     dk = reduce(DataFrame.union, [d.noisy_cells(df, ind).toDF("ind", "attr") for d in detectors]).distinct()
-    clean = reduce(DataFrame.intersect, [d.clean_cells(df, ind).toDF("ind", "attr") for d in detectors])
+    clean = reduce(_in_both, [d.clean_cells(df, ind).toDF("ind", "attr") for d in detectors])
     return clean, dk
+
+
+def _in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What DataFrame.intersect gives, by one aggregation: the join that Spark makes of it takes no hint and may broadcast all cells."""
+    both = a.withColumn("__in", F.lit(1)).union(b.withColumn("__in", F.lit(2)))
+    return both.groupBy("ind", "attr").agg(F.bit_or("__in").alias("__in")).where("__in = 3").drop("__in")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..sources.tables import INDEX, attributes, flatten, with_index
+from ..sources.tables import INDEX, attributes, flatten, whole, with_index
 
 
 def value_counts(df: DataFrame, ind: str = INDEX, attrs: list[str] | None = None) -> DataFrame:
@@ -44,13 +44,13 @@ def dirty_attributes(df: DataFrame, dk: DataFrame, ind: str = INDEX) -> list[str
 def candidates(df: DataFrame, of: DataFrame, lookup: DataFrame, ind: str = INDEX, attrs: list[str] | None = None) -> DataFrame:
     """(ind, attr, val, p) for cells `of` (ind, attr): values that come with the other values of the cell's row, p the largest probability."""
     row = flatten(df, ind, attrs).select("ind", F.col("attr").alias("a"), F.col("val").alias("v")).where("v is not null")
-    near = of.select("ind", F.col("attr").alias("b")).join(row, "ind").where("a <> b")
+    near = of.select("ind", F.col("attr").alias("b")).join(whole(row), "ind").where("a <> b")
     look = lookup.select(F.col("attr").alias("a"), F.col("val").alias("v"), F.col("attr2").alias("b"), F.col("val2").alias("val"), "p")
     return near.join(look, ["a", "v", "b"]).groupBy("ind", F.col("b").alias("attr"), "val").agg(F.max("p").alias("p"))
 
 
 def _observed(df: DataFrame, of: DataFrame, ind: str, attrs: list[str] | None) -> DataFrame:
-    return flatten(df, ind, attrs).join(of.select("ind", "attr"), ["ind", "attr"], "left_semi")
+    return whole(flatten(df, ind, attrs)).join(of.select("ind", "attr"), ["ind", "attr"], "left_semi")
 
 
 def _with_observed(found: DataFrame, own: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def _with_observed(found: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def _others(found: DataFrame, own: DataFrame) -> DataFrame:
-    return found.join(own.select("ind", "attr", "val"), ["ind", "attr", "val"], "left_anti")
+    return whole(found).join(own.select("ind", "attr", "val"), ["ind", "attr", "val"], "left_anti")
 
 
 def likeliest(lookup: DataFrame, least: float, k: int) -> DataFrame:
@@ -113,4 +113,4 @@ def numbered(domain: DataFrame, attrs: list[str]) -> DataFrame:
     place = F.element_at(F.create_map(*[x for i, a in enumerate(attrs) for x in (F.lit(a), F.lit(i))]), F.col("attr"))
     ids = with_index(domain.select("ind", "attr").distinct().withColumn("place", place), "vid", ["ind", "place"]).drop("place")
     own = F.row_number().over(Window.partitionBy("ind", "attr").orderBy("val"))
-    return domain.join(ids, ["ind", "attr"]).select("vid", "ind", "attr", "val", "observed", own.alias("domain_id"))
+    return whole(domain).join(ids, ["ind", "attr"]).select("vid", "ind", "attr", "val", "observed", own.alias("domain_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.constraint import Constraint, Ref
-from ..sources.tables import INDEX, flatten
+from ..sources.tables import INDEX, flatten, whole
 from .ordered import before, sides
 
 KEY = ["ind", "attr", "val"]
@@ -80,7 +80,7 @@ class Relaxed:
             return _counted(*events, ["__r"]).select(*[F.col(f"__cand_{k}").alias(k) for k in KEY], "n")
         given = domain.where(F.col("attr") == attribute).select(*[F.col(k).alias(f"__cand_{k}") for k in KEY])
         swap = F.col("__cand_val").cast(df.schema[attribute].dataType)
-        row = df.alias(name).join(given, F.col(f"`{name}`.`{ind}`") == F.col("__cand_ind"))
+        row = whole(df).alias(name).join(given, F.col(f"`{name}`.`{ind}`") == F.col("__cand_ind"))
         conditions = [p.column({self.side: swap} if i == self.number else None) for i, p in enumerate(self.constraint.predicates)]
         if not others:
             return _per_candidate(row.where(_all(conditions)))
@@ -93,7 +93,7 @@ class Relaxed:
                 a, b = (F.col(f"`{x}`.`{ind}`") for x in self.constraint.tuples)
                 apart = [a < b]
             ready = [x for x, p in zip(conditions, self.constraint.predicates) if t in (named := {r.tuple for r in p.refs()}) | {name} and named <= set(done)]
-            row = row.join(df.alias(t), _all(ready + apart))
+            row = row.join(whole(df).alias(t), _all(ready + apart))
         return _per_candidate(row.where(_all(conditions)))
 
     def events(self, number: int, df: DataFrame, domain: DataFrame, ind: str, ends: tuple[int, int] | None) -> tuple[DataFrame, DataFrame] | None:
@@ -124,7 +124,7 @@ class Relaxed:
             asked, told = (F.lit(1).cast("long"), F.lit(SHARES + 2) + share), (F.lit(0).cast("long"), share)
         else:
             asked = told = (at * turn, share * turn)
-        probes = df.join(given, F.col(f"`{ind}`") == F.col("__cand_ind")).where(_all(s.own))
+        probes = whole(df).join(given, F.col(f"`{ind}`") == F.col("__cand_ind")).where(_all(s.own))
         probes = probes.select(F.lit(number).alias("__r"), text([x.own for x in equal]).alias("__k"), value.cast("string").alias("__v"), asked[0].alias("__at"), asked[1].alias("__s"), F.lit(bool(unequal)).alias("__u"), *[F.col(f"__cand_{k}") for k in KEY], off(itself).alias("__in"), off(same).alias("__same"))
         rows = df.where(_all(s.other)).select(F.lit(number).alias("__r"), text(its).alias("__k"), (F.col(f"`{unequal[0].other}`") if unequal else F.lit("")).cast("string").alias("__v"), told[0].alias("__at"), told[1].alias("__s"), F.lit(bool(unequal)).alias("__u"))
         known = F.col("__v").isNotNull() & F.forall("__k", lambda x: x.isNotNull())
@@ -184,7 +184,7 @@ class Cooccurrence:
 
     def features(self, df: DataFrame, domain: DataFrame, ind: str = INDEX) -> DataFrame:
         row = flatten(df, ind, self.dirty).select("ind", F.col("attr").alias("a"), F.col("val").alias("v"))
-        near = domain.select(*KEY).join(row, "ind").where("a <> attr")
+        near = domain.select(*KEY).join(whole(row), "ind").where("a <> attr")
         pairs = self.pairs.select(F.col("attr").alias("pa"), F.col("val").alias("pv"), F.col("attr2").alias("pb"), F.col("val2").alias("pw"), F.col("n").alias("both"))
         values = self.values.select(F.col("attr").alias("va"), F.col("val").alias("vv"), F.col("n").alias("all"))
         near = near.join(pairs, (F.col("a") == F.col("pa")) & F.col("v").eqNullSafe(F.col("pv")) & (F.col("attr") == F.col("pb")) & (F.col("val") == F.col("pw")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.tables import whole
 from .features import KEY
 
 
@@ -24,7 +25,7 @@ def probabilities(domain: DataFrame, features: DataFrame, weights: DataFrame) ->
     """(ind, attr, val, observed, probability). A candidate without features scores 0. The weights, one row per feature, are broadcast."""
     scores = features.join(F.broadcast(weights), "feature").groupBy(*KEY).agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
     cell = Window.partitionBy("ind", "attr")
-    out = domain.join(scores, KEY, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    out = whole(domain).join(scores, KEY, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     out = out.withColumn("e", F.exp(F.col("score") - F.max("score").over(cell)))
     return out.select(*KEY, "observed", (F.col("e") / F.sum("e").over(cell)).alias("probability"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.constraint import Constraint, Literal, Ref
 from ..sources.scratch import cut
+from ..sources.tables import whole
 
 _TURNED = {"EQ": "EQ", "IQ": "IQ", "LT": "GT", "GT": "LT", "LTE": "GTE", "GTE": "LTE"}
 
@@ -26,7 +27,7 @@ def before(df: DataFrame, keys: list[str], order: list[Column], value: str, how:
     sums = shares.groupBy(*keys, "__share").agg(how(value).alias("__sum"))
     earlier = Window.partitionBy(*keys).orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__earlier", how("__sum").over(earlier)).drop("__sum")
-    both = shares.withColumn("__inner", how(value).over(own)).join(sums, [*keys, "__share"])
+    both = whole(shares.withColumn("__inner", how(value).over(own))).join(sums, [*keys, "__share"])
     union = F.coalesce(F.col("__inner") + F.col("__earlier"), "__inner", "__earlier") if how is F.sum else F.greatest("__inner", "__earlier") if how is F.max else F.least("__inner", "__earlier")
     return both.withColumn(name, union).drop("__share", "__inner", "__earlier")
 

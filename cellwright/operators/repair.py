@@ -25,7 +25,7 @@ def repaired(df: DataFrame, map_values: DataFrame, ind: str = INDEX, attrs: list
     """df with the cells of map_values (ind, attr, val; one row per cell) overwritten; types are kept."""
     attrs = attrs or attributes(df, ind)
     wide = map_values.groupBy(F.col("ind").alias("__cell")).agg(*[F.max(F.when(F.col("attr") == a, F.col("val"))).alias(f"__new_{i}") for i, a in enumerate(attrs)])
-    joined = df.join(wide, F.col(f"`{ind}`") == F.col("__cell"), "left")
+    joined = tables.whole(df).join(wide, F.col(f"`{ind}`") == F.col("__cell"), "left")
     new = {a: F.coalesce(F.col(f"__new_{i}").cast(df.schema[a].dataType), F.col(f"`{a}`")).alias(a) for i, a in enumerate(attrs)}
     return joined.select(*[new.get(c, F.col(f"`{c}`")) for c in df.columns if keep_index or c != ind])
 
@@ -99,11 +99,11 @@ class Session:
         self.values = self._cut(dom.value_counts(self.init, self.ind), "values")
         self.pairs = self._cut(dom.pair_counts(self.init, dirty, self.ind), "pairs")
         lookup = self._cut(dom.cooccurrence(self.pairs, self.values, self.config.pruning_threshold1), "lookup")
-        training = tables.cells(self.init, self.ind, dirty or None).join(self.dk, ["ind", "attr"], "left_anti")
+        training = tables.whole(tables.cells(self.init, self.ind, dirty or None)).join(self.dk, ["ind", "attr"], "left_anti")
         if self.config.train_on_clean_only:
-            training = training.join(self.clean, ["ind", "attr"], "left_semi")
+            training = tables.whole(training).join(self.clean, ["ind", "attr"], "left_semi")
         training = self._cut(model.drawn(training, self.config), "drawn")
-        clean = dom.clean_domain(self.init, training, lookup, self.config, self.ind)
+        clean = dom.clean_domain(self.init, F.broadcast(training), lookup, self.config, self.ind)
         return self._cut(clean, "training"), self._cut(dom.dk_domain(self.init, self.dk, lookup, self.config, self.ind), "suspect"), dirty
 
     def repair(self, weights: dict[str, float] | None = None) -> DataFrame:

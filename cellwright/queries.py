@@ -179,7 +179,7 @@ def dirty_attributes(spark, d):
 
 def _clean_domain(spark, d, config):
     df = part(spark, d)
-    training = tables.cells(df, attrs=DIRTY).join(dc_dk_cells(spark, d), ["ind", "attr"], "left_anti")
+    training = tables.whole(tables.cells(df, attrs=DIRTY)).join(dc_dk_cells(spark, d), ["ind", "attr"], "left_anti")
     return df, dom.clean_domain(df, training, _lookup(df, 0.0), config)
 
 

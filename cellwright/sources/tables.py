@@ -87,6 +87,12 @@ def map_schema(df: DataFrame, ind: str = INDEX) -> DataFrame:
     return df.sparkSession.createDataFrame(list(enumerate(attributes(df, ind), 1)), "attr_id int, attribute string")
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """df for a join that must not broadcast it, nor what it meets unless that is marked as small: joins are planned by the sizes of
+    compressed files, a small part of what the rows take in the driver."""
+    return df.hint("merge")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
