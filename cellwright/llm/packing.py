@@ -34,7 +34,7 @@ SLACK = 16
 
 
 #: Parts of texts whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST, _MET = 400_000, 48, 1 << 22
+REMEMBERED, LONGEST, _MET = 100_000, 48, 1 << 22
 _run = re.compile(r" \s")
 # How byte-level vocabularies write bytes (those that print as themselves, the others from 256 on), and marks that stay together.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,6 +65,10 @@ class _Remembered(dict):
             self[part] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.elder, self.met = {}, bytearray(_MET)
+
 
 class Encoder:
     """Ids of whole texts by the tokenizer, as bytes of unsigned 32-bit integers.
@@ -104,6 +108,11 @@ class Encoder:
         first, *others = text.split(" ")
         return self.first[first] + b"".join(map(self.spaced.__getitem__, others))
 
+    def forget(self) -> None:
+        """Let go of what was remembered: a worker lives on through all stages."""
+        for parts in (self.marks, self.first, self.spaced):
+            parts.forget()
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -237,6 +246,9 @@ def _packer(window: int, end: int, path: str | None, with_ids: bool):
                     size = 0
         if docs:
             yield from flush()
+        docs.clear()
+        ids.clear()
+        encoder(path).forget()
 
     return run
 
