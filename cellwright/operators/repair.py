@@ -93,18 +93,24 @@ class Session:
             self.clean, self.dk = self.catalog.add("C_clean", self._cut(clean, "clean")), self.catalog.add("C_dk", self._cut(dk, "dk"))
         return self.clean, self.dk
 
-    def domains(self) -> tuple[DataFrame, DataFrame, list[str]]:
-        """(training domain, suspect domain, dirty attributes). Counts are over the whole table; the training domain is that of the cells drawn."""
+    def domains(self, learn: bool = True) -> tuple[DataFrame | None, DataFrame, list[str]]:
+        """(training domain, suspect domain, dirty attributes). Counts are over the whole table; the training domain is that of the cells drawn.
+
+        learn: without it there is no training domain, and no cells are drawn."""
         dirty = dom.dirty_attributes(self.init, self.dk, self.ind)
-        self.values = self._cut(dom.value_counts(self.init, self.ind), "values")
-        self.pairs = self._cut(dom.pair_counts(self.init, dirty, self.ind), "pairs")
-        lookup = self._cut(dom.cooccurrence(self.pairs, self.values, self.config.pruning_threshold1), "lookup")
+        statistics = lambda df, what: tables.few_or_whole(self._cut(df, what))
+        self.values = statistics(dom.value_counts(self.init, self.ind), "values")
+        self.pairs = statistics(dom.pair_counts(self.init, dirty, self.ind), "pairs")
+        lookup = statistics(dom.cooccurrence(self.pairs, self.values, self.config.pruning_threshold1), "lookup")
+        training = self._training(lookup, dirty) if learn else None
+        return training, self._cut(dom.dk_domain(self.init, self.dk, lookup, self.config, self.ind), "suspect"), dirty
+
+    def _training(self, lookup: DataFrame, dirty: list[str]) -> DataFrame:
         training = tables.whole(tables.cells(self.init, self.ind, dirty or None)).join(self.dk, ["ind", "attr"], "left_anti")
         if self.config.train_on_clean_only:
             training = tables.whole(training).join(self.clean, ["ind", "attr"], "left_semi")
         training = self._cut(model.drawn(training, self.config), "drawn")
-        clean = dom.clean_domain(self.init, F.broadcast(training), lookup, self.config, self.ind)
-        return self._cut(clean, "training"), self._cut(dom.dk_domain(self.init, self.dk, lookup, self.config, self.ind), "suspect"), dirty
+        return self._cut(dom.clean_domain(self.init, F.broadcast(training), lookup, self.config, self.ind), "training")
 
     def repair(self, weights: dict[str, float] | None = None) -> DataFrame:
         """The repaired table. Where no cell can be learned from, the weights stay as drawn, with a warning; cells without candidates stay as they are.
@@ -113,7 +119,7 @@ class Session:
         if self.dk is None:
             raise RuntimeError("detect errors first")
         with self._timed("domains"):
-            training, suspect, dirty = self.domains()
+            training, suspect, dirty = self.domains(learn=weights is None)
         signals = [features.Observed(), *([features.Violations(self.constraints)] if self.constraints else []), features.Cooccurrence(dirty, self.pairs, self.values), *self.featurizers]
         names = [n for f in signals for n, _, _ in f.names()]
         self.feature_map = self.catalog.add("Feature_id_map", features.feature_map(self.spark, signals))

@@ -93,6 +93,15 @@ def whole(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of statistics that a join may broadcast, if their file is small enough for that, too.
+FEW = 50_000
+
+
+def few_or_whole(df: DataFrame) -> DataFrame:
+    """df, which stands in files, for joins: `whole` if it has more than FEW rows, however small its files are."""
+    return df if df.limit(FEW + 1).count() <= FEW else whole(df)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
