@@ -143,6 +143,7 @@ def _sketcher(k: int):
                     [part.column("doc_id"), part.column("file"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() if q else _named(t) for r, q, t in zip(sketch, keys, texts)], pa.binary())],
                     ["doc_id", "file", "row", "n_shingles", "key", "registers"],
                 )
+        _hashes.clear()  # a worker lives on through all stages
 
     return run
 
@@ -154,6 +155,7 @@ def _setter(k: int):
                 sets = shingle_sets(texts, k)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
+        _hashes.clear()
 
     return run
 
