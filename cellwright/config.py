@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: As a number of training cells: all there are.
+EVERY = 2**63 - 1
+
 
 @dataclass(frozen=True)
 class Config:
@@ -22,8 +25,8 @@ class Config:
     k_inferred: int = 1
     seed: int = 42
     train_on_clean_only: bool = False
-    #: Training cells drawn at most, by a seeded hash. Steps of training follow one another, so they run in one task; this bounds its memory and time.
-    training_cells: int = 100_000
+    #: Training is on all cells. Who wants fewer may name a number here; so many are drawn by a seeded hash.
+    training_cells: int = EVERY
     #: Log the seconds of loading, detection, domains, training and inference.
     verbose: bool = False
 

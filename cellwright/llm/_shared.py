@@ -7,19 +7,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut, forget, new_folder, plain_read, shared_dir  # noqa: F401
+from ..sources.scratch import cut, file_system, forget, new_folder, plain_read, shared_dir  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def file_system(path: str):
-    """pyarrow's file system for a path that Spark knows, and the path there; for workers."""
-    from pyarrow import fs
-
-    path = path.replace("s3a://", "s3://")
-    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """df with the rows' numbers from 0 in an order: the place in a range partition plus the sizes of those before, one row per partition."""
     inner = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())

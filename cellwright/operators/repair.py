@@ -94,9 +94,9 @@ class Session:
         return self.clean, self.dk
 
     def domains(self, learn: bool = True) -> tuple[DataFrame | None, DataFrame, list[str]]:
-        """(training domain, suspect domain, dirty attributes). Counts are over the whole table; the training domain is that of the cells drawn.
+        """(training domain, suspect domain, dirty attributes). Counts are over the whole table; the training domain is that of all cells to learn from.
 
-        learn: without it there is no training domain, and no cells are drawn."""
+        learn: without it there is no training domain."""
         dirty = dom.dirty_attributes(self.init, self.dk, self.ind)
         statistics = lambda df, what: tables.few_or_whole(self._cut(df, what))
         self.values = statistics(dom.value_counts(self.init, self.ind), "values")
@@ -110,7 +110,7 @@ class Session:
         if self.config.train_on_clean_only:
             training = tables.whole(training).join(self.clean, ["ind", "attr"], "left_semi")
         training = self._cut(model.drawn(training, self.config), "drawn")
-        return self._cut(dom.clean_domain(self.init, F.broadcast(training), lookup, self.config, self.ind), "training")
+        return self._cut(dom.clean_domain(self.init, training, lookup, self.config, self.ind), "training")
 
     def repair(self, weights: dict[str, float] | None = None) -> DataFrame:
         """The repaired table. Where no cell can be learned from, the weights stay as drawn, with a warning; cells without candidates stay as they are.

@@ -301,7 +301,7 @@ def train_step(spark, d):
     df = noisy(spark, d)
     domain = _fixed_domain(df)
     signals = features.normalized(features.featurize(df, domain, _signals(df)))
-    config = Config(learning_iterations=1, batch_size=10**9, learning_rate=0.5, weight_decay=0.1, training_cells=10**7)
+    config = Config(learning_iterations=1, batch_size=10**9, learning_rate=0.5, weight_decay=0.1)
     w = model.train(domain, signals, list(WEIGHTS), config, list(WEIGHTS.values()))
     return model.weights_frame(spark, list(WEIGHTS), w).withColumn("weight", F.round("weight", 7))
 
