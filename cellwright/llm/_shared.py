@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, file_system, forget, new_folder, plain_read, shared_dir  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows handed to a worker at once (about), where the session names no bound. By Spark's default it is 10,000 rows or 64 MB, which
+#: stand in the executor and in the worker at the same time, for each task.
+HANDED, _BOUND = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BOUND, None) is None:
+        spark.conf.set(_BOUND, HANDED)
 
 
 def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:

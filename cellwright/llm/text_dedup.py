@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, components, cut, lean, mixed, words_of
+from ._shared import WordHashes, components, cut, in_small_batches, lean, mixed, words_of
 from .places import at_rest, chosen, marked, place, without
 
 REGISTERS, ROWS = 192, 6
@@ -199,6 +199,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
 
 def grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of docs (at rest) by place: doc_id, file, row, n_shingles, component_id, first (is it its group's first row?)."""
+    in_small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *place(docs))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = cut(docs.mapInArrow(lean(_sketcher(shingle)), f"doc_id {id_type}, file long, row long, n_shingles long, key binary, registers binary"), "sketches")

@@ -8,23 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm import mixing, packing, pii, text_dedup, toxicity
+from cellwright.llm._shared import in_small_batches
 from cellwright.sources.scratch import new_folder, remove, temporary
 
 #: Documents with at least this score go.
 TOXIC = 0.3
-#: Bytes of rows handed to a worker at once (about), where the session names no bound. By Spark's default it is 10,000 rows or 64 MB, which
-#: stand in the executor and in the worker at the same time, for each task.
-HANDED, _BOUND = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def _in_small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_BOUND, None) is None:
-        spark.conf.set(_BOUND, HANDED)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels of the documents at hand and drop those that score as toxic."""
-    _in_small_batches(spark)
+    in_small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return docs.where(toxicity.scorer(toxicity.fit(docs, labels))(F.col("text")) < TOXIC)
 
@@ -32,7 +25,6 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: the one with the smallest doc_id, those without an id last, and of rows that share that id
     the first by place. Texts without words are groups of their own; of those that share an id one stays for each text."""
-    _in_small_batches(spark)
     return text_dedup.one_of_each(docs)
 
 
@@ -49,7 +41,7 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, ids included."""
-    _in_small_batches(spark)
+    in_small_batches(spark)
     return packing.pack(docs)
 
 
